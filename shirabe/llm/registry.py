@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shirabe.llm import span_queries, token_queries
+from shirabe.llm import neardup_queries, span_queries, token_queries
 
-_MODULES = [span_queries, token_queries]
+_MODULES = [neardup_queries, token_queries, span_queries]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
