@@ -55,7 +55,7 @@ LETTERS = re.compile(rf"^(?:[{_KANJI}ぁ-んァ-ヺー]+(?:[ 　・]?[{_KANJI}
 SLOT = rf"(?:[{_KANJI}]{{1,6}}(?:[ノの][{_KANJI}]{{1,3}})?(?:[ 　][{_KANJI}]{{1,4}}(?:[ノの][{_KANJI}]{{1,2}})?)?|[ァ-ヺー]{{2,10}}(?:[ 　・][ァ-ヺー]{{2,10}})?|[A-Z][A-Za-z'\-]+[ 　][A-Z][A-Za-z'\-]+)"
 LEFT, RIGHT = 4, 2
 SEEDS = 20_000
-_STOP = "。.\n「」『』"
+_STOP = "。.\n「」『』)）"
 
 
 def _free(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
@@ -131,23 +131,22 @@ class Lexicon:
         return bool(self.full.fullmatch(filler))
 
 
-def _sides(text: str, lo: int, hi: int) -> tuple[str, str]:
-    left = text[max(lo - LEFT, 0) : lo]
-    for i in range(len(left) - 1, -1, -1):
-        if left[i] in _STOP:
-            left = "^" + left[i + 1 :].lstrip(" 　\n")
-            break
-    else:
-        if lo <= LEFT:
-            left = "^" + left
+def _sides(text: str, lo: int, hi: int) -> list[tuple[str, str]]:
+    """The contexts of a mention: a short and a longer left side, "^" for a sentence start, "$" for the end."""
     right = text[hi : hi + RIGHT]
-    return left, right if right else "$"
+    right = right[:1] if right[:1] in _STOP else right
+    left = text[max(lo - LEFT, 0) : lo]
+    cut = max((left.rfind(c) for c in _STOP), default=-1)
+    whole = lo <= LEFT or cut >= 0
+    left = left[cut + 1 :].lstrip(" 　\n") if cut >= 0 else left
+    sides = {"^" + left if whole else left, left[-2:] if len(left) >= 2 else "^" + left if whole else left}
+    return [(x, right or "$") for x in sorted(sides) if x]
 
 
 def _rule(left: str, right: str) -> str:
     before = rf"(?:^|(?<=[{re.escape(_STOP)}])|(?<=[{re.escape(_STOP)}][ 　\n])){re.escape(left[1:])}" if left.startswith("^") else re.escape(left)
     after = "$" if right == "$" else re.escape(right)
-    return rf"{before}(?P<x>{SLOT}?)(?={after})"
+    return rf"{before}(?P<x>{SLOT})(?={after})"
 
 
 @lru_cache(maxsize=4)
@@ -209,8 +208,8 @@ def learn_names(df: DataFrame, name: str, family: str, text: str, least: int = 4
             a, b, x = [], [], []
             for t in batch.column(0).to_pylist():
                 for m in lex.full.finditer(t):
-                    left, right = _sides(t, *m.span())
-                    a.append(left), b.append(right), x.append(m.group())
+                    for left, right in _sides(t, *m.span()):
+                        a.append(left), b.append(right), x.append(m.group())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in (a, b, x)], ["l", "r", "x"])
 
     seen = texts.mapInArrow(contexts, "l string, r string, x string").groupBy("l", "r").agg(F.countDistinct("x").alias("e"))

@@ -24,7 +24,7 @@ SLOTS = [
 ]
 # Filler and dummy text.
 FILLERS = [
-    r"lorem\s+ipsum", r"ダミー(?:テキスト|文字|データ|です)?", r"(?:サンプル|テスト)(?:文字列|テキスト|データ|入力|です)", r"テストテスト", r"てすと", r"ここに.{0,8}(?:入り|入れ|記入|入力|回答)",
+    r"(?i:lorem\s+ipsum)", r"ダミー(?:テキスト|文字|データ|です)?", r"(?:サンプル|テスト)(?:文字列|テキスト|データ|入力|です)", r"テストテスト", r"てすと", r"ここに.{0,8}(?:入り|入れ|記入|入力|回答)",
     r"あいうえお", r"(?:ほげ|hoge|foo\s?bar|asdf|qwerty)", r"([\p{L}○〇●×＊*?？])\1{4,}", r"[○〇●◯]{2,}", r"(?:x{2,}|X{2,})性", r"(?:^|[^A-Za-z])[xX]{3,}(?:$|[^A-Za-z])", r"^[\s・。\-_=*.]{3,}$",
 ]
 # Notes that the label is still to be written.
