@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shirabe.functions.text import strip
+
 MESSAGES = "array<struct<role:string,content:string>>"
 # Control tokens of the header-style chat template.
 BEGIN, HEAD, HEAD_END, TURN_END = "<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"
@@ -50,8 +52,8 @@ def flatten(msgs: Column) -> Column:
     last = F.size(msgs) - F.array_position(F.reverse(roles), 1).cast("int") + 1
     has = F.coalesce(F.array_position(roles, 1) > 0, F.lit(False))
     before = F.filter(F.slice(msgs, F.lit(1), F.greatest(last - 1, F.lit(0))), lambda m: F.coalesce(m["content"], F.lit("")) != "")
-    text = F.trim(F.array_join(F.transform(before, lambda m: F.concat(F.coalesce(m["role"], F.lit("user")), F.lit(": "), m["content"])), "\n"))
-    target = F.trim(F.coalesce(F.try_element_at(msgs, F.when(has, last).otherwise(F.lit(1)))["content"], F.lit("")))
+    text = strip(F.array_join(F.transform(before, lambda m: F.concat(F.coalesce(m["role"], F.lit("user")), F.lit(": "), m["content"])), "\n"))
+    target = strip(F.coalesce(F.try_element_at(msgs, F.when(has, last).otherwise(F.lit(1)))["content"], F.lit("")))
     return F.struct(F.when(has, text).otherwise(F.lit("")).alias("text_input"), F.when(has, target).otherwise(F.lit("")).alias("output"))
 
 

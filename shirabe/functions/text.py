@@ -25,6 +25,11 @@ CLINICAL_WORDS = ["ヘルニア", "症候群", "再発", "手術", "術", "切
 POLITE_ENDINGS = ["です", "ます"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literal(text: str) -> str:
     """A regular expression that matches exactly this text."""
     return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
@@ -95,7 +100,7 @@ def _drop_prefixes(col: Column, prefixes: list[str]) -> Column:
 
 
 def _drop_suffixes(col: Column, suffixes: list[str]) -> Column:
-    return reduce(lambda c, s: F.when(c.endswith(s), rstrip(F.regexp_replace(c, r"(?s).$", ""))).otherwise(c), suffixes, col)
+    return reduce(lambda c, x: F.regexp_replace(c, rf"(?U)\s*{literal(x)}$", ""), suffixes, col)
 
 
 def clean_expression(col: Column, mode: str | Column = "patient", cut_inside: bool = True) -> Column:
@@ -121,11 +126,10 @@ def clean_label(col: Column) -> Column:
     """The label in a model's answer: first line, no bullet, no matching edge quotes, no final stop."""
     out = first_line(safe_str(col))
     for b in BULLETS:
-        out = F.when(out.startswith(b), strip(F.substring(out, len(b) + 1, 1 << 30))).otherwise(out)
+        out = F.regexp_replace(out, rf"(?U)^{literal(b)}\s*", "")
     for q in EDGE_QUOTES:
-        inner = F.regexp_replace(out, r"(?s)^.|.$", "")
-        out = F.when(out.startswith(q) & out.endswith(q) & (F.length(out) > 2), strip(inner)).otherwise(out)
-    return F.when(out.endswith("。"), strip(F.regexp_replace(out, "。$", ""))).otherwise(out)
+        out = F.regexp_replace(out, rf"(?Us)^{literal(q)}\s*(.+?)\s*{literal(q)}$", "$1")
+    return F.regexp_replace(out, r"(?U)\s*。$", "")
 
 
 def shorten(col: Column, limit: int = 400, mark: str = " …", default: str = "") -> Column:

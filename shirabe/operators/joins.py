@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shirabe.functions.text import first_present
+from shirabe.functions.text import first_present, strip
 from shirabe.operators.dedupe import last_wins
 
 
@@ -83,9 +83,9 @@ def build_master(patient: DataFrame, doctor: DataFrame, master: DataFrame, key:
     the master's win where not blank; blank flags become 0; ids unknown to the master stay.
     """
     both = patient.withColumn("_side", F.lit(0)).unionByName(doctor.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    rows = both.withColumn("_x", F.trim(F.coalesce(F.col(text), F.lit("")))).where((F.col("_x") != "") & F.col(key).rlike(r"(?U)\S"))
+    rows = both.withColumn("_x", strip(F.coalesce(F.col(text), F.lit("")))).where((F.col("_x") != "") & F.col(key).rlike(r"(?U)\S"))
     order = F.struct("_side", seq)
-    facts = rows.groupBy(key).agg(*[F.min_by(F.col(c), order).alias(f"_f_{c}") for c in info if c in rows.columns])
+    facts = rows.groupBy(key).agg(F.count("*").alias("_n"), *[F.min_by(F.col(c), order).alias(f"_f_{c}") for c in info if c in rows.columns])
     firsts = rows.groupBy(key, "_side", "_x").agg(F.min(seq).alias("_s"))
 
     def arr(side: int) -> Column:

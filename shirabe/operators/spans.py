@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shirabe.functions.text import let
+
 # Signs at the edges of a span.
 SPAN_SIGNS = " \t\r\n　、。.,()（）[]【】「」『』:：;；，"
 # Particles of which one is taken off the end, in the order they are tried.
@@ -96,18 +98,23 @@ def is_trivial(span: Column, particles: list[str] | None = None, single: list[st
     One particle is taken off the end first (the first of the list that fits); phrases are tested
     before that.  Null counts as trivial.
     """
-    s = _bare(F.trim(F.coalesce(span, F.lit(""))))
-    cut = reduce(lambda rest, p: F.when(s.endswith(p) & (F.length(s) > len(p)), F.substr(s, F.lit(1), F.length(s) - len(p))).otherwise(rest), reversed(particles or PARTICLES), s)
-    core = _bare(cut)
-    check = F.when(core != "", core).otherwise(s)
-    return (
-        (s == "")
-        | ((F.length(check) == 1) & ~check.isin(single or SINGLE_ALLOWED))
-        | (check.rlike("^[ぁ-ゖー]+$") & (F.length(check) <= 3))
-        | check.isin(words or STOP_WORDS)
-        | check.rlike(temporal)
-        | s.isin(phrases or STOP_PHRASES)
-    )
+    own = particles or PARTICLES
+
+    def without_particle(s: Column) -> Column:
+        return reduce(lambda rest, p: F.when(s.endswith(p) & (F.length(s) > len(p)), F.substr(s, F.lit(1), F.length(s) - len(p))).otherwise(rest), reversed(own), s)
+
+    def judged(s: Column) -> Column:
+        core = _bare(without_particle(s))
+        return let(F.when(core != "", core).otherwise(s), lambda check: (
+            (s == "")
+            | ((F.length(check) == 1) & ~check.isin(single or SINGLE_ALLOWED))
+            | (check.rlike("^[ぁ-ゖー]+$") & (F.length(check) <= 3))
+            | check.isin(words or STOP_WORDS)
+            | check.rlike(temporal)
+            | s.isin(phrases or STOP_PHRASES)
+        ))
+
+    return let(_bare(F.trim(F.coalesce(span, F.lit("")))), judged)
 
 
 def assertion(text: Column, begin: Column, end: Column, tokens: Column | None = None, window: int = 20, uncertain: list[str] | None = None, absent: list[str] | None = None, absent_tokens: list[str] | None = None) -> Column:

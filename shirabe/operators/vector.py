@@ -7,13 +7,16 @@ nothing that grows with the data is broadcast, and results are exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK = 20_000
 
@@ -62,6 +65,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", bid: str
     spark = base.sparkSession
     rows = base.where(F.col(vec).isNotNull()).select(F.col(bid).alias("b"), F.col(vec).alias("v"))
     qt, bt = queries.schema[qid].dataType, base.schema[bid].dataType
+    qa = to_arrow_type(qt)
     schema = T.StructType([T.StructField("q", qt), T.StructField("b", bt), T.StructField("s", T.DoubleType())])
     out = None
     for part in _blocks(queries.where(F.col(vec).isNotNull()).select(qid, vec), block):
@@ -80,7 +84,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", bid: str
                     # every row that ties with the k-th stays, so that ties are settled by key below
                     edge = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
                     qi, bi = np.nonzero(score >= edge[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([names[lo + i] for i in qi]), keys.take(pa.array(bi)), pa.array(score[qi, bi])], ["q", "b", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[lo + i] for i in qi], qa), keys.take(pa.array(bi)), pa.array(score[qi, bi])], ["q", "b", "s"])
 
         got = rows.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
@@ -98,6 +102,7 @@ def own_and_other(records: DataFrame, labels: DataFrame, rid: str, group: str, v
     """
     spark = records.sparkSession
     gt, rt = labels.schema[group].dataType, records.schema[rid].dataType
+    ga = to_arrow_type(gt)
     schema = T.StructType([T.StructField("r", rt), T.StructField("own", T.DoubleType()), T.StructField("other", T.DoubleType()), T.StructField("g", gt)])
     rows = records.where(F.col(vec).isNotNull()).select(F.col(rid).alias("r"), F.col(group).alias("g"), F.col(vec).alias("v"))
     out = None
@@ -120,7 +125,7 @@ def own_and_other(records: DataFrame, labels: DataFrame, rid: str, group: str, v
                 best = score.argmax(axis=1)
                 value = score[np.arange(len(best)), best]
                 some = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64()), pa.array([float(x) if ok else None for x, ok in zip(value, some)], pa.float64()), pa.array([names[b] if ok else None for b, ok in zip(best, some)])], ["r", "own", "other", "g"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64()), pa.array([float(x) if ok else None for x, ok in zip(value, some)], pa.float64()), pa.array([names[b] if ok else None for b, ok in zip(best, some)], ga)], ["r", "own", "other", "g"])
 
         got = rows.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
@@ -157,10 +162,21 @@ def rerank(hits: DataFrame, query: str, score: str, lexical: Column, short: Colu
 
 
 def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """A deterministic stand-in for a model: hashed character pairs, at length 1; blank texts give zeros."""
-    from shirabe.operators.similarity import bigrams
+    """A deterministic stand-in for a model: hashed characters and character pairs, at length 1.
 
-    grams = F.concat(bigrams(text), F.transform(F.split(text, ""), lambda c: F.concat(F.lit(" "), c)))
-    spots = F.transform(grams, lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(width)).alias("i"), F.when(F.pmod(F.xxhash64(g, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("x")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(spots, lambda s: s["i"] == i), F.lit(0.0), lambda t, s: t + s["x"]))
-    return unit(F.coalesce(raw, F.array_repeat(F.lit(0.0), width)))
+    One Arrow call per batch; null and empty texts give the zero vector.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(s: pd.Series) -> pd.Series:
+        def one(x):
+            v = np.zeros(width)
+            for g in {*(x or ""), *((x or "")[i : i + 2] for i in range(len(x or "") - 1))}:
+                h = zlib.crc32(g.encode("utf-8", "replace"))
+                v[h % width] += 1.0 if h & 0x10000 else -1.0
+            n = np.sqrt(v @ v)
+            return v / n if n else v
+
+        return s.map(one)
+
+    return embed(text)

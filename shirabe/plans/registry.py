@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shirabe.plans import packed_queries
+from shirabe.plans import core_queries, packed_queries
 
-_MODULES = [packed_queries]
+_MODULES = [packed_queries, core_queries]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
