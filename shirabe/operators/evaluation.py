@@ -60,7 +60,7 @@ def hierarchical_scores(gold: DataFrame, pred: DataFrame, closure: DataFrame, ca
     related = g.join(near, F.col("g") == F.col("x")).select(case, "g", F.col("y").alias("p")).join(p, [case, "p"]).select(case, "g", "p", "rank")
     pairs = same.unionByName(related).distinct()
 
-    def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set = set()
         for _, rows in pdf.sort_values(["g", "rank"]).groupby("g", sort=True):
             hit = next((x for x in rows["p"] if x not in taken), None)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shirabe.functions.judge import good_verdict
 from shirabe.operators.similarity import diverse_top_k
@@ -28,7 +29,7 @@ def replicate(df: DataFrame, n: int, index: str = "cand_no") -> DataFrame:
 
 def call_rows(df: DataFrame, column: str, call: Callable[[dict], str | None], out: str = "text", error: str = "error", retries: int = 0) -> DataFrame:
     """A remote call per row inside the executors; a failed row gets null and its error, after ``retries``."""
-    schema = df.schema.add(out, "string").add(error, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(error, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
