@@ -16,20 +16,17 @@ def edges(df: DataFrame, child: str, parents: Column) -> DataFrame:
 def closure(edge: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node``, ``ancestor``: all pairs along one edge or more; safe on cycles.
 
-    Each round joins only the pairs found last with the edges and keeps the new ones; a round is
-    written to the shared folder, so plans stay short and lost executors cost one round.  A term
-    is its own ancestor only on a cycle.  Descendants are the same pairs read the other way.
+    Each round joins only the pairs found last with all pairs known and keeps the new ones, so the
+    path length covered doubles per round.  A round is written to the shared folder: plans stay
+    short and lost executors cost one round.  A term is its own ancestor only on a cycle.  Descendants are the same pairs read the other way.
     """
-    step = materialize(edge.select("child", "parent").distinct(), "edges")
-    known = materialize(step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")), "closure")
-    frontier, parts = known, [known]
+    frontier = materialize(edge.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "closure")
+    every = frontier
     for _ in range(max_rounds):
-        found = frontier.join(step, frontier.ancestor == step.child).select("node", F.col("parent").alias("ancestor")).distinct()
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+        rest = every.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
+        found = frontier.join(rest, "ancestor").select("node", F.col("far").alias("ancestor")).distinct()
         frontier = materialize(found.join(every, ["node", "ancestor"], "left_anti"), "closure")
         if frontier.isEmpty():
             return every
-        parts.append(frontier)
+        every = every.unionByName(frontier)
     raise RuntimeError("the closure did not settle")
