@@ -161,7 +161,8 @@ def near_links(df: DataFrame, key: str, values: str, num: int = 4, den: int = 5,
     """``a``, ``b``, ``common``, ``either``: pairs with a < b whose sets reach num/den, each once.
 
     ``values`` is an array of strings per record; the set of a record is the union of the sets of
-    its elements.  ``key`` must be unique.  Records without an n-gram (null, empty, too short)
+    its elements.  Rows that repeat a key count as records of that key, a pair comes out once, and
+    rows with a null key take no part.  Records without an n-gram (null, empty, too short)
     are linked to nothing here.  Exact copies are records like others: pass one per class.
     """
     if not 0 < num <= den:
@@ -179,19 +180,20 @@ def near_links(df: DataFrame, key: str, values: str, num: int = 4, den: int = 5,
     # overlaps fragment by fragment, summed per pair
     common = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0), lambda s, x: s + x)
     counted = both.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb") - common).alias("either"))
-    return counted.where(F.col("common") * den >= F.col("either") * num)
+    near = counted.where(F.col("common") * den >= F.col("either") * num)
+    return near.groupBy("a", "b").agg(F.max("common").alias("common"), F.min("either").alias("either"))
 
 
 def copy_classes(df: DataFrame, key: str, values: str) -> DataFrame:
-    """``k``, ``rep``, ``v``-free: each key with the smallest key of the very same value.
+    """``k``, ``rep``: each key with the smallest key of the very same value.
 
     Rows that are null, empty, or hold only blank elements take no part.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(values).alias("v")).where(F.exists("v", lambda x: x.isNotNull() & x.rlike(r"(?U)\S")))
+    rows = df.select(F.col(key).alias("k"), F.col(values).alias("v")).where(F.col("k").isNotNull() & F.exists("v", lambda x: x.isNotNull() & x.rlike(r"(?U)\S")))
     text = F.to_json(F.struct("v"))
     hashed = rows.select("k", F.xxhash64("v").alias("x"), F.sha2(text, 256).alias("y"))
     reps = hashed.groupBy("x", "y").agg(F.min("k").alias("rep"))
-    return hashed.join(reps, ["x", "y"]).select("k", "rep")
+    return hashed.join(reps, ["x", "y"]).select("k", "rep").distinct()
 
 
 def near_pairs(df: DataFrame, key: str, values: str, num: int = 4, den: int = 5, n: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -155,9 +155,9 @@ def shared_spans(df: DataFrame, key: str, text: str, min_chars: int = 200) -> Da
     ``a < b`` are keys of class representatives (the smallest key of each distinct text), so a
     text copied any number of times takes part once.  A long passage may come in several
     overlapping pieces, each cut ``min_chars`` characters beyond the run that found it.
-    Null, empty and short texts share nothing.
+    Null, empty and short texts, and rows with a null key, share nothing; repeated rows count once.
     """
-    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.char_length("t") >= min_chars)
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.char_length("t") >= min_chars))
     reps = materialize(texts.groupBy(F.xxhash64("t").alias("x"), F.sha2("t", 256).alias("y")).agg(F.min_by(F.struct("k", "t"), "k").alias("r")).select("r.k", "r.t"), "span-texts")
     runs = materialize(span_runs(reps, "k", "t", min_chars), "span-runs")
     repeated = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
@@ -194,10 +194,10 @@ def shared_spans(df: DataFrame, key: str, text: str, min_chars: int = 200) -> Da
 
 def text_classes(df: DataFrame, key: str, text: str, min_chars: int = 0) -> DataFrame:
     """``k``, ``rep``: each key with the smallest key that has the very same text."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.char_length("t") >= min_chars)
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.char_length("t") >= min_chars))
     keyed = rows.select("k", F.xxhash64("t").alias("x"), F.sha2("t", 256).alias("y"))
     reps = keyed.groupBy("x", "y").agg(F.min("k").alias("rep"))
-    return keyed.join(reps, ["x", "y"]).select("k", "rep")
+    return keyed.join(reps, ["x", "y"]).select("k", "rep").distinct()
 
 
 def expand_pairs(links: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:

@@ -81,7 +81,8 @@ def unify(df: DataFrame, keys: list[str], text: str, clean: str = "clean", chang
     """``keys``, ``text``, ``clean`` (consistent form) and ``changed`` (the stored value was not in it).
 
     Null stays null and unchanged; the empty text is consistent; typing errors and plain spaces
-    are left alone.  Counts of contexts are taken over all rows of ``df``.
+    are left alone.  Counts of contexts are taken over all rows of ``df``; repeated rows and null
+    keys come out as they went in.
     """
     rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t"))
     names = [f"k{i}" for i in range(len(keys))]
@@ -104,10 +105,10 @@ def unify(df: DataFrame, keys: list[str], text: str, clean: str = "clean", chang
     made = materialize(rows.mapInArrow(prepare, schema), "unify")
     fixes = _fixes(made.select(F.explode("occ").alias("o")).select("o.c", "o.w", "o.n", "o.s"))
     # few: only the (context, character) pairs that must change
-    hit = made.where(F.size("occ") > 0).select(*names, F.explode("occ").alias("o")).select(*names, "o.p", "o.c", "o.w", "o.n", "o.s")
-    todo = hit.join(fixes, ["w", "n", "c", "s"]).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("p", "to"))).alias("subs"))
-    todo = todo.select(*(F.col(n).alias(f"todo_{n}") for n in names), "subs")
-    cond = [F.col(n).eqNullSafe(F.col(f"todo_{n}")) for n in names]
+    hit = made.where(F.size("occ") > 0).select(*names, "form", F.explode("occ").alias("o")).select(*names, "form", "o.p", "o.c", "o.w", "o.n", "o.s")
+    todo = hit.join(fixes, ["w", "n", "c", "s"]).groupBy(*names, "form").agg(F.map_from_entries(F.collect_set(F.struct("p", "to"))).alias("subs"))
+    todo = todo.select(*(F.col(n).alias(f"todo_{n}") for n in names), F.col("form").alias("todo_form"), "subs")
+    cond = [F.col(n).eqNullSafe(F.col(f"todo_{n}")) for n in [*names, "form"]]
     joined = made.join(todo, cond, "left").select(*names, "t", "form", "subs")
     spelled = F.array_join(F.transform(F.split("form", ""), lambda c, i: F.coalesce(F.try_element_at("subs", i), c)), "")
     out = joined.withColumn("out", F.when(F.col("subs").isNull(), F.col("form")).otherwise(spelled))

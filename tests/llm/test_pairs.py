@@ -54,6 +54,16 @@ def test_groups_and_hot_copies(spark):
     assert got[0].n_links == 400 and got[900].n_links == 400 and got[901].n_links == 0
 
 
+def test_repeated_keys_and_null_keys(spark):
+    a, b = "何度も届く同じ文章の例です", "何度も届く同じ文章の例です。"
+    df = spark.createDataFrame([(1, [a]), (1, [a]), (1, [b]), (2, [b]), (None, [a]), (3, None)], "key bigint, v array<string>")
+    assert pairs_of(df, None) == [(1, 2)]
+    long = "長い文章が二つの記録にそのまま入っている場合を確かめる。" * 10
+    docs = spark.createDataFrame([(1, long + "甲"), (1, long + "甲"), (2, "乙" + long), (None, long), (3, None)], "doc_id bigint, text string")
+    links = shared_spans(docs, "doc_id", "text", 200).select("a", "b").distinct()
+    assert [tuple(r) for r in expand_pairs(links, text_classes(docs, "doc_id", "text", 200), "x", "y").collect()] == [(1, 2)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)], "a bigint, b bigint")
     got = {r.k: r.group for r in components(links).collect()}

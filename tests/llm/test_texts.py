@@ -17,6 +17,13 @@ def test_forms_of_look_alikes(spark):
     assert unify(df.where("false").select("k", "t"), ["k"], "t").count() == 0
 
 
+def test_repeated_rows_and_null_keys_keep_their_forms(spark):
+    rows = [(i, "気力がわかない") for i in range(30)] + [(100, "気カがわかない")] * 3 + [(100, "別の気カがある"), (None, "気カがわかない"), (None, None)]
+    out = unify(spark.createDataFrame(rows, "k int, t string"), ["k"], "t").collect()
+    assert len(out) == len(rows) and sum(r.changed for r in out if r.k == 100) >= 3
+    assert [r.clean for r in out if r.k is None and r.t] == ["気力がわかない"]
+
+
 def test_base_form_is_stable():
     for s in ["ｶﾞ①…", "a­b﻿c", "⽪膚", "  x　", ""]:
         assert base_form(base_form(s)) == base_form(s)
