@@ -28,7 +28,7 @@ def annotate(docs: DataFrame, entries: DataFrame, key: str, text: str, embed: Ca
     grams = materialize(grams, "spans")
     spans = grams.select("span").distinct().withColumn("vec", embed(F.col("span")))
     table = materialize(entries.withColumn("vec", embed(F.col("expr"))).select("entry_no", "hpo_id", "label", "expr", "vec"), "entries")
-    hits = knn(spans, table.select("entry_no", "vec"), top_k, "span", "entry_no", "vec")
+    hits = knn(spans, table.select("entry_no", "vec"), top_k, "span", "entry_no", "vec", hold="base")
     full = hits.join(table.drop("vec"), "entry_no")
     if lexical:
         best = rerank(full, "span", "score", lexical_similarity(F.col("span"), F.col("expr")), short_penalty(F.col("span"), F.col("expr")), least_score=least_score, entry_id="hpo_id")

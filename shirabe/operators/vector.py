@@ -56,37 +56,52 @@ def _blocks(df: DataFrame, size: int) -> Iterator[list]:
         yield block
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", bid: str = "bid", vec: str = "vec", block: int = BLOCK) -> DataFrame:
+def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest scores per row; all that tie with the k-th stay, to be settled by key."""
+    top = min(k, score.shape[1])
+    edge = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
+    return np.nonzero(score >= edge[:, None])
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", bid: str = "bid", vec: str = "vec", block: int = BLOCK, hold: str = "queries") -> DataFrame:
     """``qid``, ``bid``, ``score``, ``rank``: the k rows of ``base`` with the largest inner product per query.
 
-    Ties go to the smaller ``bid``.  ``queries`` is the stated set, held block by block; each
-    partition of ``base`` sends at most k rows per query on.  Rows with a null vector take no part.
+    Ties go to the smaller ``bid``; rows with a null vector take no part.  The side named by ``hold``
+    is sent out block by block while the other streams: hold the smaller one.  Per block, each
+    query sends at most k rows (and ties) on from a batch.
     """
+    if hold not in ("queries", "base"):
+        raise ValueError(f"cannot hold {hold}")
     spark = base.sparkSession
-    rows = base.where(F.col(vec).isNotNull()).select(F.col(bid).alias("b"), F.col(vec).alias("v"))
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(qid).alias("i"), F.col(vec).alias("v"))
+    b = base.where(F.col(vec).isNotNull()).select(F.col(bid).alias("i"), F.col(vec).alias("v"))
+    kept, moving = (q, b) if hold == "queries" else (b, q)
     qt, bt = queries.schema[qid].dataType, base.schema[bid].dataType
-    qa = to_arrow_type(qt)
+    kind = to_arrow_type(qt if hold == "queries" else bt)
     schema = T.StructType([T.StructField("q", qt), T.StructField("b", bt), T.StructField("s", T.DoubleType())])
     out = None
-    for part in _blocks(queries.where(F.col(vec).isNotNull()).select(qid, vec), block):
-        ids = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
+    for part in _blocks(kept, block):
+        held = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
 
-        def run(batches, ids=ids):
-            names, q = ids.value
+        def run(batches, held=held):
+            names, m = held.value
             for batch in batches:
-                if not batch.num_rows:
+                rows = _matrix(batch.column(1)) if batch.num_rows else None
+                if rows is None:
                     continue
-                m = _matrix(batch.column(1))
-                keys = batch.column(0)
-                for lo in range(0, len(names), 2048):
-                    score = q[lo : lo + 2048] @ m.T
-                    top = min(k, score.shape[1])
-                    # every row that ties with the k-th stays, so that ties are settled by key below
-                    edge = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
-                    qi, bi = np.nonzero(score >= edge[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([names[lo + i] for i in qi], qa), keys.take(pa.array(bi)), pa.array(score[qi, bi])], ["q", "b", "s"])
-
-        got = rows.mapInArrow(run, schema)
+                step = 2048
+                for lo in range(0, len(names) if hold == "queries" else batch.num_rows, step):
+                    if hold == "queries":
+                        score = m[lo : lo + step] @ rows.T
+                        r, c = _top(score, k)
+                        cols = [pa.array([names[lo + x] for x in r], kind), batch.column(0).take(pa.array(c))]
+                    else:
+                        score = rows[lo : lo + step] @ m.T
+                        r, c = _top(score, k)
+                        cols = [batch.column(0).take(pa.array(r + lo)), pa.array([names[x] for x in c], kind)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(score[r, c])], ["q", "b", "s"])
+
+        got = moving.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], schema)

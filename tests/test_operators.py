@@ -77,11 +77,12 @@ def test_knn_and_own_other_against_numpy(spark):
     m = rng.normal(size=(60, 5)).round(2)
     m[7] = m[3]
     df = spark.createDataFrame([(i, [float(x) for x in v], i % 4) for i, v in enumerate(m)] + [(99, None, 1)], "bid int, vec array<double>, g int")
-    got = vector.knn(df.where("bid % 10 = 0").select(F.col("bid").alias("qid"), "vec"), df.select("bid", "vec"), 5, block=2).collect()
-    for q in range(0, 60, 10):
-        score = m @ m[q]
-        want = sorted(range(60), key=lambda i: (-score[i], i))[:5]
-        assert [r.bid for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == want
+    for hold in ("queries", "base"):
+        got = vector.knn(df.where("bid % 10 = 0").select(F.col("bid").alias("qid"), "vec"), df.select("bid", "vec"), 5, block=2 if hold == "queries" else 25, hold=hold).collect()
+        for q in range(0, 60, 10):
+            score = m @ m[q]
+            want = sorted(range(60), key=lambda i: (-score[i], i))[:5]
+            assert [r.bid for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == want
     labels = df.where("bid < 3").select(F.col("bid").alias("g"), "vec")
     sims = {r.bid: r for r in vector.own_and_other(df, labels, "bid", "g", block=2).collect()}
     for i in range(60):
