@@ -9,6 +9,7 @@ not know there while its neighbours on both sides are of the other script, is su
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -42,14 +43,25 @@ def fold(text: str) -> str:
     return text.translate(fold_table())
 
 
+@lru_cache(maxsize=1)
+def _unseen() -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of the invisible characters and of the spaces that are not plain."""
+    area = [*range(0x20, 0x3100), *range(0xFE00, 0x10000), *range(0x110B0, 0x110D0), *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCB0), *range(0x1D170, 0x1D180), *range(0xE0000, 0xE0080)]
+    kinds = {c: unicodedata.category(chr(c)) for c in area}
+    hidden = "".join(re.escape(chr(c)) for c, k in kinds.items() if k in INVISIBLE) + re.escape(BLANKS)
+    spaces = "".join(re.escape(chr(c)) for c, k in kinds.items() if k == "Zs" and c != 0x20)
+    return re.compile(f"[{hidden}]+"), re.compile(f"[{spaces}]")
+
+
 def base_form(text: str) -> str:
     """NFKC without invisible characters; every kind of space but line ends becomes the plain space."""
+    if text.isascii():
+        return text
+    hidden, spaces = _unseen()
     out = unicodedata.normalize("NFKC", text)
-    if out.isascii():
-        return out
-    out = "".join(c for c in out if unicodedata.category(c) not in INVISIBLE and c not in BLANKS)
-    out = "".join(" " if unicodedata.category(c) == "Zs" else c for c in out)
-    return unicodedata.normalize("NFKC", out)
+    out, n = hidden.subn("", out)
+    out = spaces.sub(" ", out)
+    return unicodedata.normalize("NFKC", out) if n else out
 
 
 def script(c: str) -> str:
