@@ -23,7 +23,8 @@ from shirabe.session import materialize
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting step
-_ROWS_AT_ONCE = 20_000
+_ROWS_AT_ONCE = 4_000
+_LOW = 20  # lowest bits of a sent key: the size and whether the part is whole
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,7 +140,14 @@ def _records(df: DataFrame, key: str, values: str, num: int, den: int, n: int) -
 
 
 def _signatures(records: DataFrame, num: int, den: int) -> DataFrame:
-    """``key``, ``full``, ``k``, ``n``, ``sk``: the keys each record sends."""
+    """``key``, ``k``, ``sk``: the keys each record sends.
+
+    The upper 44 bits of ``key`` are the hash to join by, the lowest one tells a whole part, those
+    between hold the size: three numbers a row, as these rows are what the join moves.  Chance
+    collisions only add candidates, which the counting removes; a size beyond 19 bits is cut, and
+    the filter then lets everything through.
+    """
+    most = (1 << 19) - 1
 
     def run(batches):
         for whole in batches:
@@ -149,11 +157,11 @@ def _signatures(records: DataFrame, num: int, den: int) -> DataFrame:
                 gram = batch.column(3).flatten().flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(batch.num_rows), sizes)
                 own, keys, full = _keys(owner, gram, sizes, num, den)
+                low = (np.minimum(sizes, most) << 1)[own] | full
                 at = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(full), *(batch.column(c).take(at) for c in range(3))], ["key", "full", "k", "n", "sk"])
+                yield pa.RecordBatch.from_arrays([pa.array((keys << np.uint64(_LOW)).view(np.int64) | low), batch.column(0).take(at), batch.column(2).take(at)], ["key", "k", "sk"])
 
-    f = {x.name: x for x in records.schema.fields}
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("full", T.BooleanType()), f["k"], f["n"], f["sk"]])
+    schema = T.StructType([T.StructField("key", T.LongType()), records.schema["k"], records.schema["sk"]])
     return records.select("k", "n", "sk", "parts").mapInArrow(run, schema)
 
 
@@ -169,10 +177,14 @@ def near_links(df: DataFrame, key: str, values: str, num: int = 4, den: int = 5,
         raise ValueError("the threshold must lie above 0 and not above 1")
     records = materialize(_records(df, key, values, num, den, n), "near-records")
     keys = materialize(_signatures(records, num, den), "near-keys")
-    a, b = keys.where("full").alias("a"), keys.alias("b")
-    lo, hi = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    most = F.expr(f"(a.n + b.n) * {den - num} div {den + num}")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & F.when(F.col("b.full"), F.col("a.k") < F.col("b.k")).otherwise(F.col("a.k") != F.col("b.k")) & (hi * num <= lo * den) & (F.bit_count(F.col("a.sk").bitwiseXOR(F.col("b.sk"))) <= most))
+    most = (1 << 19) - 1
+    a, b = keys.where(F.col("key").bitwiseAND(1) == 1).alias("a"), keys.alias("b")
+    na, nb = (F.shiftright(F.col(f"{x}.key"), 1).bitwiseAND(most) for x in "ab")
+    whole = F.col("b.key").bitwiseAND(1) == 1
+    apart = F.bit_count(F.col("a.sk").bitwiseXOR(F.col("b.sk")))
+    close = (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (apart <= F.floor((na + nb) * (den - num) / (den + num)))
+    same = F.shiftright(F.col("a.key"), _LOW) == F.shiftright(F.col("b.key"), _LOW)
+    met = a.join(b, same & F.when(whole, F.col("a.k") < F.col("b.k")).otherwise(F.col("a.k") != F.col("b.k")) & ((F.greatest(na, nb) == most) | close))
     cand = materialize(met.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b")).distinct(), "near-candidates")
     left = records.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
     right = records.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
