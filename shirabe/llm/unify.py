@@ -3,8 +3,12 @@ each look-alike letter replaced by the one that belongs in its word.
 
 Which look-alike belongs is read from the corpus: the characters around it (look-alikes among
 them folded together) form a context; in each context the corpus says which of the look-alikes is
-usual.  One that the corpus uses far less than another in the same context, or that the corpus does
-not know there while its neighbours on both sides are of the other script, is substituted.
+usual, every distinct text counting once.  Two characters on each side decide if one look-alike is
+far more frequent there than the others; if not, one character on each side; then the script of
+both neighbours; then, where the corpus knows several look-alikes in the context, the two
+characters before and the two after, taken together.  Only where all this is silent do the
+copies decide, never for one that fewer distinct texts hold or that the script rejects.
+What nothing decides stays as it is.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from shirabe.session import materialize
 LOOKALIKES = [
     "へヘ", "べベ", "ぺペ", "りリ", "カ力", "エ工", "ロ口", "ニ二", "ハ八", "タ夕", "ト卜", "チ千",
     "オ才", "ミ三", "ヒ匕", "ー一", "ヌ又", "セ七", "ノ丿", "メ乂", "ム厶", "イ亻",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "SЅ", "TТΤ", "XХΧ", "YУΥ", "ZΖ",
-    "aаα", "cсϲ", "eе", "iіι", "jј", "oоο", "pрρ", "sѕ", "xхχ", "yуγ", "vν", "uυ",
+    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙӀ", "GԌ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "WԜ", "XХΧ", "YУΥ", "ZΖ",
+    "aаαɑ", "cсϲ", "eе", "gɡ", "hһ", "iіιı", "jј", "oоο", "pрρ", "sѕ", "xхχ", "yуγ", "vν", "uυ", "dԁ", "qԛ", "wԝ",
 ]
 INVISIBLE = {"Cf"}  # Unicode category of format characters: zero-width, joiners, soft hyphen, marks of direction
 # Further characters that show nothing.
@@ -67,15 +71,17 @@ def base_form(text: str) -> str:
 def script(c: str) -> str:
     if c == "ー":
         return "KATAKANA"
+    if c in "ɑɡı":
+        return "PHONETIC"  # named Latin, but never in a Latin word
     name = unicodedata.name(c, "?")
     return name.split()[0].split("-")[0]
 
 
-def _contexts(form: str, width: int) -> list[tuple[int, str, str]]:
-    """Position, character and context of each look-alike."""
+def _contexts(form: str) -> list[tuple[int, str, str]]:
+    """Position, character and context (two folded characters on each side) of each look-alike."""
     table = fold_table()
-    folded = "\x02" * width + form.translate(table) + "\x03" * width
-    return [(i, c, folded[i : i + width] + folded[i + width] + folded[i + width + 1 : i + 2 * width + 1]) for i, c in enumerate(form) if ord(c) in table]
+    folded = "\x02\x02" + form.translate(table) + "\x03\x03"
+    return [(i, c, folded[i : i + 5]) for i, c in enumerate(form) if ord(c) in table]
 
 
 def _by_script(form: str, i: int) -> str:
@@ -84,6 +90,8 @@ def _by_script(form: str, i: int) -> str:
     own = form[i]
     if not left or not right or script(left) != script(right) or script(left) == script(own):
         return own
+    if own == "へ" and script(left) == "KATAKANA":
+        return own  # the particle stands between words of any script
     group = next(g for g in LOOKALIKES if own in g)
     fit = [c for c in group if script(c) == script(left)]
     return fit[0] if fit and script(left) in ("HIRAGANA", "KATAKANA", "LATIN") else own
@@ -93,54 +101,58 @@ def unify(df: DataFrame, keys: list[str], text: str, clean: str = "clean", chang
     """``keys``, ``text``, ``clean`` (consistent form) and ``changed`` (the stored value was not in it).
 
     Null stays null and unchanged; the empty text is consistent; typing errors and plain spaces
-    are left alone.  Counts of contexts are taken over all rows of ``df``; repeated rows and null
-    keys come out as they went in.
+    are left alone.  Counts of contexts are taken over the distinct consistent forms of ``df``, so
+    copies weigh nothing unless these are silent; repeated rows and null keys come out as they went in.
     """
     rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t"))
     names = [f"k{i}" for i in range(len(keys))]
-    kf = [rows.schema[n] for n in names]
 
     def prepare(batches):
         for batch in batches:
-            forms, found = [], []
-            for v in batch.column(len(names)).to_pylist():
-                form = None if v is None else base_form(v)
-                forms.append(form)
-                found.append([] if not form else [{"p": a[0], "c": a[1], "w": a[2], "n": b[2], "s": _by_script(form, a[0])} for a, b in zip(_contexts(form, 2), _contexts(form, 1))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string()), pa.array(found, occ_type)], [*names, "t", "form", "occ"])
+            forms = [base_form(v) for v in batch.column(0).to_pylist()]
+            found = [[{"p": i, "c": c, "w": w, "s": _by_script(form, i)} for i, c, w in _contexts(form)] for form in forms]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string()), pa.array(found, occ_type)], ["t", "rows", "form", "occ"])
 
-    occ_type = pa.list_(pa.struct([("p", pa.int32()), ("c", pa.string()), ("w", pa.string()), ("n", pa.string()), ("s", pa.string())]))
-    occ_spark = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), *(T.StructField(x, T.StringType()) for x in "cwns")]))
-    schema = T.StructType([*kf, T.StructField("t", T.StringType()), T.StructField("form", T.StringType()), T.StructField("occ", occ_spark)])
+    occ_type = pa.list_(pa.struct([("p", pa.int32()), ("c", pa.string()), ("w", pa.string()), ("s", pa.string())]))
+    occ_spark = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), *(T.StructField(x, T.StringType()) for x in "cws")]))
+    schema = T.StructType([T.StructField("t", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("form", T.StringType()), T.StructField("occ", occ_spark)])
 
-
-    made = materialize(rows.mapInArrow(prepare, schema), "unify")
-    fixes = _fixes(made.select(F.explode("occ").alias("o")).select("o.c", "o.w", "o.n", "o.s"))
+    made = materialize(rows.where(F.length("t") > 0).groupBy("t").agg(F.count("*").alias("rows")).mapInArrow(prepare, schema), "unify")
+    once = made.where(F.size("occ") > 0).groupBy("form").agg(F.any_value("occ").alias("occ"), F.sum("rows").alias("rows")).select("rows", F.explode("occ").alias("o")).select("rows", "o.c", "o.w", "o.s")
     # few: only the (context, character) pairs that must change
-    hit = made.where(F.size("occ") > 0).select(*names, "form", F.explode("occ").alias("o")).select(*names, "form", "o.p", "o.c", "o.w", "o.n", "o.s")
-    todo = hit.join(fixes, ["w", "n", "c", "s"]).groupBy(*names, "form").agg(F.map_from_entries(F.collect_set(F.struct("p", "to"))).alias("subs"))
-    todo = todo.select(*(F.col(n).alias(f"todo_{n}") for n in names), F.col("form").alias("todo_form"), "subs")
-    cond = [F.col(n).eqNullSafe(F.col(f"todo_{n}")) for n in [*names, "form"]]
-    joined = made.join(todo, cond, "left").select(*names, "t", "form", "subs")
+    fixes = materialize(_fixes(once), "unify_fixes")
+    hit = made.where(F.size("occ") > 0).select("t", F.explode("occ").alias("o")).select("t", "o.p", "o.c", "o.w", "o.s")
+    todo = hit.join(fixes, ["w", "c", "s"]).groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct("p", "to"))).alias("subs"))
     spelled = F.array_join(F.transform(F.split("form", ""), lambda c, i: F.coalesce(F.try_element_at("subs", i), c)), "")
-    out = joined.withColumn("out", F.when(F.col("subs").isNull(), F.col("form")).otherwise(spelled))
+    forms = made.select("t", "form").join(todo, "t", "left").select("t", F.when(F.col("subs").isNull(), F.col("form")).otherwise(spelled).alias("out"))
+    out = rows.join(forms.where(F.col("out") != F.col("t")), "t", "left").withColumn("out", F.coalesce("out", "t"))
     return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.col("t").alias(text), F.col("out").alias(clean), F.coalesce(F.col("out") != F.col("t"), F.lit(False)).alias(changed))
 
 
 def _fixes(occ: DataFrame) -> DataFrame:
-    """(w, n, c, s) -> to: which occurrences must change, and into what."""
-    kinds = occ.groupBy("w", "n", "c", "s").agg(F.count("*").alias("m"))
-
-    def usual(ctx: str) -> DataFrame:
-        per = kinds.groupBy(ctx, "c").agg(F.sum("m").alias("m"))
-        best = F.max_by(F.struct("c", "m"), F.struct("m", "c"))
-        return per.groupBy(ctx).agg(best.alias("b")).select(F.col(ctx), F.col("b.c").alias(f"top_{ctx}"), F.col("b.m").alias(f"most_{ctx}"))
-
-    own_w = kinds.groupBy("w", "c").agg(F.sum("m").alias("own_w"))
-    own_n = kinds.groupBy("n", "c").agg(F.sum("m").alias("own_n"))
-    full = kinds.join(usual("w"), "w").join(usual("n"), "n").join(own_w, ["w", "c"]).join(own_n, ["n", "c"])
-    wide = (F.col("top_w") != F.col("c")) & (F.col("most_w") >= USUAL * F.col("own_w"))
-    near = (F.col("top_n") != F.col("c")) & (F.col("most_n") >= USUAL * F.col("own_n")) & (F.col("own_w") == F.col("most_w")) & (F.col("own_w") < USUAL)
-    lone = (F.col("s") != F.col("c")) & (F.col("own_w") == F.col("most_w")) & (F.col("own_w") < USUAL) & (F.col("own_n") < USUAL)
-    to = F.when(wide, F.col("top_w")).when(near, F.col("top_n")).when(lone, F.col("s"))
-    return full.select("w", "n", "c", "s", to.alias("to")).where(F.col("to").isNotNull())
+    """(w, c, s) -> to: which occurrences must change, and into what."""
+    kinds = materialize(occ.groupBy("w", "c", "s").agg(F.count("*").alias("m"), F.sum("rows").alias("rows")), "unify_kinds")
+    # the contexts within the wide one: one character on each side, two before, two after
+    parts = {"w": (1, 5), "n": (2, 3), "l": (1, 3), "r": (3, 3)}
+    full = kinds.select("w", "c", "s", *(F.substring("w", a, n).alias(f"at_{x}") for x, (a, n) in parts.items()))
+    for x, (a, n) in parts.items():
+        per = kinds.groupBy(F.substring("w", a, n).alias(f"at_{x}"), "c").agg(F.sum("m").alias("m"))
+        full = full.join(per.groupBy(f"at_{x}").agg(F.collect_list(F.struct("m", "c")).alias(f"has_{x}")), f"at_{x}")
+    stored = kinds.where(F.col("s") == F.col("c")).groupBy(F.col("w").alias("at_w"), "c").agg(F.sum("rows").alias("m"))
+    full = full.join(stored.groupBy("at_w").agg(F.collect_list(F.struct("m", "c")).alias("copies")), "at_w", "left")
+
+    def others(has):
+        return F.filter(has, lambda x: x.c != F.col("c"))
+
+    def verdict(has):
+        """The look-alike that is far more frequent than the own one, or the own one if it is that; else null."""
+        own = F.filter(has, lambda x: x.c == F.col("c"))[0].m
+        top = F.array_max(others(has))
+        return F.when(top.m >= USUAL * own, top.c).when(own >= USUAL * top.m, F.col("c"))
+
+    sides = F.concat("has_l", "has_r")
+    both = F.transform(F.array_distinct(F.transform(sides, lambda x: x.c)), lambda c: F.struct(F.aggregate(F.filter(sides, lambda x: x.c == c), F.lit(0).cast("bigint"), lambda acc, x: acc + x.m).alias("m"), c.alias("c")))
+    known = (F.size(others(F.col("has_w"))) > 0) | (F.size(others(F.col("has_n"))) > 0)
+    rival = F.array_max(others(F.col("has_w"))).m >= F.filter("has_w", lambda x: x.c == F.col("c"))[0].m
+    to = F.coalesce(verdict(F.col("has_w")), verdict(F.col("has_n")), F.when(F.col("s") != F.col("c"), F.col("s")), F.when(known, verdict(both)), F.when(rival, verdict(F.col("copies"))))
+    return full.select("w", "c", "s", to.alias("to")).where(F.col("to") != F.col("c"))

@@ -24,6 +24,16 @@ def test_repeated_rows_and_null_keys_keep_their_forms(spark):
     assert [r.clean for r in out if r.k is None and r.t] == ["気力がわかない"]
 
 
+def test_look_alikes_do_not_depend_on_copies(spark):
+    right = [f"{x}が重なり、起きる" for x in ("耳鳴り", "頭の痛み", "眠気")] + [f"夜に{x}が増えたりする" for x in "熱咳痰"] + [f"{x}が赤くなり{y}" for x in "手足首腕指肩" for y in ("続く", "、寝る")]
+    wrong = ["痛みが重なリ、起きる", "朝は重なリ続ける", "IɡX 関連狭窄"]  # 3:1 in its context; alone in it; a sign that is Latin by name only
+    fine = ["IgX 関連狭窄の疑い", "リハビリを続ける", "アメリカへイギリスから行く"]
+    for copies in (1, 60):
+        rows = [(i, t) for i, t in enumerate(right + fine)] + [(100 + 100 * k + i, t) for k, t in enumerate(wrong) for i in range(copies)]
+        got = unify(spark.createDataFrame(rows, "k int, t string"), ["k"], "t").where("changed").select("t", "clean").distinct().collect()
+        assert {(r.t, r.clean) for r in got} == {(wrong[0], "痛みが重なり、起きる"), (wrong[1], "朝は重なり続ける"), (wrong[2], "IgX 関連狭窄")}
+
+
 def test_base_form_is_stable():
     for s in ["ｶﾞ①…", "a­b﻿c", "⽪膚", "  x　", ""]:
         assert base_form(base_form(s)) == base_form(s)
