@@ -87,36 +87,42 @@ def _ending(form: str) -> str:
 def find_cut(df: DataFrame, keys: list[str], text: str, share: float = 0.12, least: int = 12) -> DataFrame:
     """``keys`` and ``rule`` of every cut row: broken, omitted, unclosed or ending.
 
-    ``keys[0]`` names the field; endings are counted per field over all rows.  ``share`` is the part
-    of its occurrences that must end a sentence for a string to count as an ending; the longest
-    string seen at least ``least`` times decides, the text itself not counted.  A missing final full stop does not matter.
+    ``keys[0]`` names the field; endings are counted per field over the distinct texts, so copies
+    weigh nothing.  ``share`` is the part of its occurrences that must end a sentence for a string to
+    count as an ending; the longest string seen at least ``least`` times decides, the text itself not
+    counted.  Only where the distinct texts hold none so often, copies of other texts count towards
+    ``least``, never towards the share.  A missing final full stop does not matter.
     Null, empty and blank texts are not cut.  Repeated rows are judged alike.
     """
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.col(text).alias("t")).where(F.col("t").rlike(r"(?U)\S"))
     field = rows.schema["k0"]
+    texts = rows.groupBy("k0", "t").agg(F.count("*").alias("copies"))
 
     def ends(batches):
         for batch in batches:
-            rule, out, stop = [], [], []
-            for v in batch.column(len(names)).to_pylist():
+            forms, rule, out, stop = [], [], [], []
+            for v in batch.column(1).to_pylist():
                 form, why = _core(v)
                 tail = _ending(form)
+                forms.append(base_form(v).rstrip() if why == "broken" else form)
                 rule.append(why)
                 stop.append(form.endswith(tuple(STOPS)))
                 codes = _codes(tail[-max(LENGTHS) :])
                 out.append([] if why else [int(_hashes(codes[-n:], n).view(np.int64)[0]) for n in LENGTHS if len(codes) >= n])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rule, pa.string()), pa.array(stop, pa.bool_()), pa.array(out, pa.list_(pa.int64()))], [*names, "rule", "stop", "h"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string()), pa.array(rule, pa.string()), pa.array(stop, pa.bool_()), pa.array(out, pa.list_(pa.int64()))], ["k0", "t", "copies", "form", "rule", "stop", "h"])
 
-    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("rule", T.StringType()), T.StructField("stop", T.BooleanType()), T.StructField("h", T.ArrayType(T.LongType()))])
-    judged = materialize(rows.mapInArrow(ends, schema), "endings")
+    schema = T.StructType([*texts.schema.fields, T.StructField("form", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("stop", T.BooleanType()), T.StructField("h", T.ArrayType(T.LongType()))])
+    judged = materialize(texts.mapInArrow(ends, schema), "endings")
+    once = judged.groupBy("k0", "form").agg(F.sum("copies").alias("copies"))
 
     def grams(batches):
         for batch in batches:
-            forms = [base_form(v).rstrip() for v in batch.column(1).to_pylist()]
-            for name in set(batch.column(0).to_pylist()):
-                own = [f for f, k in zip(forms, batch.column(0).to_pylist()) if k == name]
-                flat = _codes("\x03".join(own) + "\x03")
+            fields, forms, copies = (c.to_pylist() for c in batch.columns)
+            for name in set(fields):
+                own = [(f, m) for f, k, m in zip(forms, fields, copies) if k == name]
+                flat = _codes("\x03".join(f for f, _ in own) + "\x03")
+                stored = np.repeat([m for _, m in own], [len(f) + 1 for f, _ in own])
                 if not len(flat):
                     continue
                 end = np.isin(flat, np.array([3, *map(ord, fold(STOPS))], np.uint64))
@@ -130,16 +136,20 @@ def find_cut(df: DataFrame, keys: list[str], text: str, share: float = 0.12, lea
                     u, inv = np.unique(h[whole], return_inverse=True)
                     total = np.bincount(inv)
                     stop = np.bincount(inv, weights=fin[whole]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), batch.column(0).type), pa.array(u.view(np.int64)), pa.array(total), pa.array(stop)], ["f", "g", "total", "stops"])
-
-    kind = T.StructType([T.StructField("f", field.dataType), T.StructField("g", T.LongType()), T.StructField("total", T.LongType()), T.StructField("stops", T.LongType())])
-    counts = rows.select("k0", "t").mapInArrow(grams, kind).groupBy("f", "g").agg(F.sum("total").alias("total"), F.sum("stops").alias("stops"))
-    # each distinct ending is judged once, at every length, then joined back
-    asked = judged.where(F.col("rule") == "").select(F.col("k0").alias("f"), "h").distinct()
-    at = asked.select("f", "h", F.posexplode("h").alias("pos", "g"))
-    seen = at.join(counts, ["f", "g"]).where(F.col("total") >= least)
-    first = seen.groupBy("f", "h").agg(F.min_by(F.struct("total", "stops"), "pos").alias("b"))
-    bad = first.where(F.col("b.stops") - 1 < (F.col("b.total") - 1) * share).select("f", "h")
-    ending = judged.where((F.col("rule") == "") & ~F.col("stop")).join(bad, (judged.k0.eqNullSafe(bad.f)) & (judged.h == bad.h), "left_semi").select(*names, F.lit("ending").alias("rule"))
-    out = judged.where(F.col("rule") != "").select(*names, "rule").unionByName(ending)
+                    n_rows = np.bincount(inv, weights=stored[: len(h)][whole]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), batch.column(0).type), pa.array(u.view(np.int64)), pa.array(total), pa.array(stop), pa.array(n_rows)], ["f", "g", "total", "stops", "rows"])
+
+    kind = T.StructType([T.StructField("f", field.dataType), T.StructField("g", T.LongType()), T.StructField("total", T.LongType()), T.StructField("stops", T.LongType()), T.StructField("rows", T.LongType())])
+    counts = once.select("k0", "form", "copies").mapInArrow(grams, kind).groupBy("f", "g").agg(*(F.sum(x).alias(x) for x in ("total", "stops", "rows")))
+    # each distinct ending is judged once per number of its text's copies, at every length, then joined back
+    open_end = judged.where(F.col("rule") == "").select("k0", "form", "stop", "h").distinct().join(once.withColumnsRenamed({"k0": "f", "form": "g"}), F.col("k0").eqNullSafe(F.col("f")) & (F.col("form") == F.col("g"))).select("f", "form", "stop", "h", "copies")
+    at = open_end.select("f", "h", "copies").distinct().select("f", "h", "copies", F.posexplode("h").alias("pos", "g"))
+    thin = F.col("total") < least
+    seen = at.join(counts, ["f", "g"]).where(~thin | ((F.col("total") > 1) & (F.col("rows") - F.col("copies") + 1 >= least)))
+    first = seen.groupBy("f", "h", "copies").agg(F.min_by(F.struct("total", "stops"), F.struct(thin, "pos")).alias("b"))
+    bad = first.where(F.col("b.stops") - 1 < (F.col("b.total") - 1) * share).select("f", "h", "copies")
+    lost = open_end.where(~F.col("stop")).join(bad, ["f", "h", "copies"], "left_semi").select(F.col("f").alias("lost_f"), F.col("form").alias("lost_form"))
+    ending = judged.where((F.col("rule") == "") & ~F.col("stop")).join(lost, F.col("k0").eqNullSafe(F.col("lost_f")) & (F.col("form") == F.col("lost_form")), "left_semi").select("k0", "t", F.lit("ending").alias("rule"))
+    cut = judged.where(F.col("rule") != "").select("k0", "t", "rule").unionByName(ending).select(F.col("k0").alias("cut_f"), F.col("t").alias("cut_t"), "rule")
+    out = rows.join(cut, F.col("k0").eqNullSafe(F.col("cut_f")) & (F.col("t") == F.col("cut_t")))
     return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "rule")

@@ -56,6 +56,13 @@ def test_cut_texts(spark):
     assert find_cut(df.where("false"), ["fld", "seq"], "t").count() == 0
 
 
+def test_copies_of_a_cut_text_stay_cut(spark):
+    full = [("f", i, f"{i}日目の朝から頭が痛くて起きられません。") for i in range(30)]
+    cut = [("f", 100 + i, "今日は朝から頭が痛") for i in range(60)]
+    got = {r.seq for r in find_cut(spark.createDataFrame(full + cut, "fld string, seq int, t string"), ["fld", "seq"], "t").collect()}
+    assert got == {100 + i for i in range(60)}
+
+
 @pytest.mark.parametrize(("text", "kind"), [
     ("{{label_ja}}", "slot"), ("｛｛ＬＡＢＥＬ｝｝", "slot"), ("頭%name%痛", "slot"), ("【ここに和名】", "slot"), ("<term.ja>", "slot"), ("#{x}", "slot"), ("lorem ipsum", "filler"), ("Lorem ipsum dolor", "filler"), ("ああああああ", "filler"), ("XX性XX症", "filler"),
     ("TODO: 和訳", "pending"), ("---要記入---", "pending"), ("(仮)", "pending"), ("404 Not Found", "error"), ("undefined", "error"), ("[object Object]", "error"), ("Please enable JavaScript to continue", "error"), ("広告を非表示", "control"), ("頭痛|続きは会員登録後に", "control"),
