@@ -307,6 +307,12 @@ def clean_labels(spark, sf):
     return rows.select("seq", text.clean_label(F.concat(F.lit('- "'), F.trim("jp_final"), F.lit('"\n説明'))).alias("label"))
 
 
+@query()
+def clean_labels_all(spark, sf):
+    """Every row of the table; ``clean_labels`` is the part of it that the SQL can follow."""
+    return _t(spark, sf, "label_fill").select("seq", text.clean_label(F.col("jp_final")).alias("label"))
+
+
 @query("SELECT seq, CASE WHEN contains(lower(coalesce(mode, source, '')), 'doctor') THEN 'doctor' WHEN contains(lower(coalesce(mode, source, '')), 'patient') THEN 'patient' ELSE 'mixed' END AS mode FROM expr_records")
 def detect_mode(spark, sf):
     return _t(spark, sf, "expr_records").select("seq", text.detect_mode(F.coalesce("mode", "source"), "mixed").alias("mode"))

@@ -26,6 +26,15 @@ def test_labels(spark, raw, want):
     assert one(spark, text.clean_label, raw) == want
 
 
+def test_every_label_is_cleaned(spark, tmp_path):
+    from shirabe.plans import registry
+
+    raw = {1: "・アレルギー性鼻炎。", 2: '"頭痛(右)"', 3: "- \"II型 糖尿病\"\n説明", 4: None, 5: "  ", 6: "頭痛。"}
+    spark.createDataFrame(list(raw.items()), "seq long, jp_final string").write.parquet(f"{tmp_path}/label_fill.parquet")
+    got = {r.seq: r.label for r in registry.QUERIES["clean_labels_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "アレルギー性鼻炎", 2: "頭痛(右)", 3: "II型 糖尿病", 4: "", 5: "", 6: "頭痛"}
+
+
 def test_keys_and_small_parsers(spark):
     assert one(spark, text.match_key, " ＡＢ　c d ") == "abcd"
     assert one(spark, text.match_key, None) == ""
