@@ -1,14 +1,20 @@
 """One consistent form for text that reads the same: NFKC, no invisible characters, plain spaces, and
-each look-alike letter replaced by the one that belongs in its word.
-
-Which look-alike belongs is read from the corpus: the characters around it (look-alikes among
-them folded together) form a context; in each context the corpus says which of the look-alikes is
-usual, every distinct text counting once.  Two characters on each side decide if one look-alike is
-far more frequent there than the others; if not, one character on each side; then the script of
-both neighbours; then, where the corpus knows several look-alikes in the context, the two
-characters before and the two after, taken together.  Only where all this is silent do the
-copies decide, never for one that fewer distinct texts hold or that the script rejects.
-What nothing decides stays as it is.
+look-alike letters repaired by script.
+
+A token is a run of letters (next to Han and kana, which are written without spaces, a space does
+not end it).  Look-alikes are only replaced in tokens that mix scripts, and only if the result
+stands in the vocabulary of the corpus, in which every distinct text counts once:
+
+* A word of alphabetic letters that mixes scripts becomes, as a whole, the word of one script that
+  looks the same: that of its dominant script (the one of its letters without look-alikes), the most
+  frequent one if it has no such letters.
+* Any other look-alike is judged in its piece of the token, two letters on each side: another
+  look-alike that is far more frequent in this piece takes its place; if none is, in the piece of one
+  letter on each side; then the look-alike of the dominant script around it, if the vocabulary
+  has it after the two letters before or before the two after; then the frequencies of the pieces before and after, taken
+  together.  Only where all of these are silent do copies of texts count.
+
+What nothing in the vocabulary speaks for stays as it is.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ LOOKALIKES = [
     "へヘ", "べベ", "ぺペ", "りリ", "カ力", "エ工", "ロ口", "ニ二", "ハ八", "タ夕", "ト卜", "チ千",
     "オ才", "ミ三", "ヒ匕", "ー一", "ヌ又", "セ七", "ノ丿", "メ乂", "ム厶", "イ亻",
     "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙӀ", "GԌ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "WԜ", "XХΧ", "YУΥ", "ZΖ",
-    "aаαɑ", "cсϲ", "eе", "gɡ", "hһ", "iіιı", "jј", "oоο", "pрρ", "sѕ", "xхχ", "yуγ", "vν", "uυ", "dԁ", "qԛ", "wԝ",
+    "aаαɑ", "cсϲ", "eе", "gɡ", "hһ", "iіιı", "jј", "kкκ", "lӏ", "oоο", "pрρ", "sѕ", "xхχ", "yуγ", "vν", "uυ", "dԁ", "qԛ", "wԝѡ",
 ]
 INVISIBLE = {"Cf"}  # Unicode category of format characters: zero-width, joiners, soft hyphen, marks of direction
 # Further characters that show nothing.
@@ -68,7 +74,9 @@ def base_form(text: str) -> str:
     return unicodedata.normalize("NFKC", out) if n else out
 
 
+@lru_cache(maxsize=1 << 17)
 def script(c: str) -> str:
+    """Script of a character, by its Unicode name."""
     if c == "ー":
         return "KATAKANA"
     if c in "ɑɡı":
@@ -77,66 +85,146 @@ def script(c: str) -> str:
     return name.split()[0].split("-")[0]
 
 
-def _contexts(form: str) -> list[tuple[int, str, str]]:
-    """Position, character and context (two folded characters on each side) of each look-alike."""
-    table = fold_table()
-    folded = "\x02\x02" + form.translate(table) + "\x03\x03"
-    return [(i, c, folded[i : i + 5]) for i, c in enumerate(form) if ord(c) in table]
+_JAPANESE = "一-鿿々〆ぁ-ゖァ-ヺー"
+_TOKEN = re.compile(rf"[^\W\d_]+(?:(?:(?<=[{_JAPANESE}]) +| +(?=[{_JAPANESE}]))[^\W\d_]+)*")
+_ALPHABETIC = re.compile("[A-Za-zÀ-ɏɐ-ʯͰ-ϿЀ-ԯᴀ-ᶿḀ-ỿἀ-῿Ⱡ-Ɀ]+")
+_WORD = "\x01"  # marks the folded form of a whole word
 
 
-def _by_script(form: str, i: int) -> str:
-    """The member of the group that both neighbours' script asks for, else the character itself."""
-    left, right = form[i - 1 : i], form[i + 1 : i + 2]
-    own = form[i]
+@lru_cache(maxsize=1)
+def _groups() -> dict[str, str]:
+    return {c: group for group in LOOKALIKES for c in group}
+
+
+@lru_cache(maxsize=1)
+def _looks() -> re.Pattern:
+    return re.compile("[" + "".join(_groups()) + "]")
+
+
+def dominant(letters: str) -> str:
+    """The script that most letters have which look like no other letter; '' if there are none, or a tie."""
+    counts: dict[str, int] = {}
+    for c in letters:
+        if c not in _groups() and c.isalpha():
+            counts[script(c)] = counts.get(script(c), 0) + 1
+    top = sorted(counts.items(), key=lambda x: -x[1])
+    return top[0][0] if top and (len(top) == 1 or top[0][1] > top[1][1]) else ""
+
+
+def _suggested(form: str, i: int) -> str:
+    """The look-alike at ``i`` in the script that dominates the letters around it, else the one there."""
+    left, right, own = form[i - 1 : i], form[i + 1 : i + 2], form[i]
     if not left or not right or script(left) != script(right) or script(left) == script(own):
         return own
     if own == "へ" and script(left) == "KATAKANA":
         return own  # the particle stands between words of any script
-    group = next(g for g in LOOKALIKES if own in g)
-    fit = [c for c in group if script(c) == script(left)]
+    fit = [c for c in _groups()[own] if script(c) == script(left)]
     return fit[0] if fit and script(left) in ("HIRAGANA", "KATAKANA", "LATIN") else own
 
 
+def places(form: str) -> list[tuple[int, str, str, str, bool]]:
+    """Look-alikes of a text: position, spelling, folded piece, suggestion, may it change?
+
+    Words of alphabetic letters come whole (their folded form after a mark, the suggestion is the
+    dominant script); all other look-alikes by character, with two folded characters on each side.
+    """
+    hits = [m.start() for m in _looks().finditer(form)]
+    if not hits:
+        return []
+    groups, wide = _groups(), "\x02\x02" + form + "\x03\x03"
+    out: list[tuple[int, str, str, str, bool]] = []
+    at = 0
+    for token in _TOKEN.finditer(form):
+        lo, hi = token.span()
+        inside = []
+        while at < len(hits) and hits[at] < hi:
+            inside.append(hits[at])
+            at += 1
+        if not inside:
+            continue
+        free = len({script(c) for c in token.group() if c != " "}) > 1
+        whole: set[int] = set()
+        for m in _ALPHABETIC.finditer(form, lo, hi):
+            word = m.group()
+            own = {script(c) for c in word} if not word.isascii() else {"LATIN"}
+            if _looks().search(word):
+                out.append((m.start(), word, _WORD + fold(word), dominant(word) if len(own) > 1 else next(iter(own)), len(own) > 1))
+                if len(own) > 1:
+                    whole.update(range(*m.span()))
+        for i in inside:
+            if i not in whole:
+                out.append((i, form[i], "".join([groups[c][0] if c in groups else c for c in wide[i : i + 5]]), _suggested(form, i), free))
+    return out
+
+
 def unify(df: DataFrame, keys: list[str], text: str, clean: str = "clean", changed: str = "changed") -> DataFrame:
     """``keys``, ``text``, ``clean`` (consistent form) and ``changed`` (the stored value was not in it).
 
     Null stays null and unchanged; the empty text is consistent; typing errors and plain spaces
-    are left alone.  Counts of contexts are taken over the distinct consistent forms of ``df``, so
-    copies weigh nothing unless these are silent; repeated rows and null keys come out as they went in.
+    are left alone, and so is a token of one script, whatever it looks like.  The vocabulary is that
+    of the distinct consistent forms of ``df``, so copies weigh nothing unless these are silent;
+    repeated rows and null keys come out as they went in.  The text travels once, for the distinct
+    forms; pieces travel counted; the repaired forms, which are few, are joined back.
     """
-    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t"))
     names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(F.col(text).alias("t"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+
+    def based(batches):
+        for batch in batches:
+            forms = [base_form(v) if v else v for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], [*batch.schema.names, "form"])
+
+    def with_form(frame: DataFrame) -> DataFrame:
+        return frame.mapInArrow(based, T.StructType([*frame.schema.fields, T.StructField("form", T.StringType())]))
 
-    def prepare(batches):
+    once = with_form(rows.where(F.length("t") > 0).select("t")).groupBy("form").agg(F.count("*").alias("rows"))
+    forms = materialize(once.withColumn("id", F.monotonically_increasing_id()), "unify-forms")
+
+    def pieces(batches):
         for batch in batches:
-            forms = [base_form(v) for v in batch.column(0).to_pylist()]
-            found = [[{"p": i, "c": c, "w": w, "s": _by_script(form, i)} for i, c, w in _contexts(form)] for form in forms]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string()), pa.array(found, occ_type)], ["t", "rows", "form", "occ"])
-
-    occ_type = pa.list_(pa.struct([("p", pa.int32()), ("c", pa.string()), ("w", pa.string()), ("s", pa.string())]))
-    occ_spark = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), *(T.StructField(x, T.StringType()) for x in "cws")]))
-    schema = T.StructType([T.StructField("t", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("form", T.StringType()), T.StructField("occ", occ_spark)])
-
-    made = materialize(rows.where(F.length("t") > 0).groupBy("t").agg(F.count("*").alias("rows")).mapInArrow(prepare, schema), "unify")
-    once = made.where(F.size("occ") > 0).groupBy("form").agg(F.any_value("occ").alias("occ"), F.sum("rows").alias("rows")).select("rows", F.explode("occ").alias("o")).select("rows", "o.c", "o.w", "o.s")
-    # few: only the (context, character) pairs that must change
-    fixes = materialize(_fixes(once), "unify_fixes")
-    hit = made.where(F.size("occ") > 0).select("t", F.explode("occ").alias("o")).select("t", "o.p", "o.c", "o.w", "o.s")
-    todo = hit.join(fixes, ["w", "c", "s"]).groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct("p", "to"))).alias("subs"))
-    spelled = F.array_join(F.transform(F.split("form", ""), lambda c, i: F.coalesce(F.try_element_at("subs", i), c)), "")
-    forms = made.select("t", "form").join(todo, "t", "left").select("t", F.when(F.col("subs").isNull(), F.col("form")).otherwise(spelled).alias("out"))
-    out = rows.join(forms.where(F.col("out") != F.col("t")), "t", "left").withColumn("out", F.coalesce("out", "t"))
+            ids, stored = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            own, n, found = [], [], []
+            for i, m, form in zip(ids, stored, batch.column(2).to_pylist()):
+                got = places(form)
+                found += got
+                own += [i] * len(got)
+                n += [m] * len(got)
+            p, c, w, s, free = zip(*found) if found else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.int32()), *(pa.array(x, pa.string()) for x in (c, w, s)), pa.array(free, pa.bool_())], ["id", "rows", "p", "c", "w", "s", "free"])
+
+    found = forms.select("id", "rows", "form").mapInArrow(pieces, "id bigint, rows bigint, p int, c string, w string, s string, free boolean")
+    # few: only the (piece, spelling) pairs that must change
+    fixes = materialize(_fixes(found), "unify-fixes")
+    todo = found.where("free").join(fixes, ["w", "c", "s"]).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("p", F.char_length("c").alias("n"), "to"))).alias("subs"))
+    spelled = F.aggregate("subs", F.col("form"), lambda text, x: F.overlay(text, x["to"], x["p"] + 1, x["n"]))
+    repaired = materialize(forms.join(todo, "id").select("form", spelled.alias("out")), "unify-repaired")
+    out = with_form(rows).join(repaired, "form", "left").withColumn("out", F.coalesce("out", "form"))
     return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.col("t").alias(text), F.col("out").alias(clean), F.coalesce(F.col("out") != F.col("t"), F.lit(False)).alias(changed))
 
 
-def _fixes(occ: DataFrame) -> DataFrame:
-    """(w, c, s) -> to: which occurrences must change, and into what."""
-    kinds = materialize(occ.groupBy("w", "c", "s").agg(F.count("*").alias("m"), F.sum("rows").alias("rows")), "unify_kinds")
-    # the contexts within the wide one: one character on each side, two before, two after
+def _fixes(found: DataFrame) -> DataFrame:
+    """(w, c, s) -> to: which spellings of which pieces must change, and into what."""
+    kinds = materialize(found.groupBy("w", "c", "s", "free").agg(F.count("*").alias("m"), F.sum("rows").alias("rows")), "unify-kinds")
+    is_word = F.col("w").startswith(_WORD)
+    return _letter_fixes(kinds.where(~is_word)).unionByName(_word_fixes(kinds.where(is_word)))
+
+
+def _word_fixes(kinds: DataFrame) -> DataFrame:
+    """Mixed words and the word of one script that the vocabulary has for them."""
+    known = kinds.where(~F.col("free")).select("w", F.col("c").alias("to"), F.col("s").alias("of"), "m")
+    fit = kinds.where("free").select("w", "c", "s").distinct().join(known, "w").where((F.col("s") == "") | (F.col("s") == F.col("of")))
+    return fit.groupBy("w", "c", "s").agg(F.max_by("to", F.struct("m", "to")).alias("to"))
+
+
+def _letter_fixes(kinds: DataFrame) -> DataFrame:
+    # the pieces within the wide one: one character on each side, two before, two after
     parts = {"w": (1, 5), "n": (2, 3), "l": (1, 3), "r": (3, 3)}
-    full = kinds.select("w", "c", "s", *(F.substring("w", a, n).alias(f"at_{x}") for x, (a, n) in parts.items()))
-    for x, (a, n) in parts.items():
-        per = kinds.groupBy(F.substring("w", a, n).alias(f"at_{x}"), "c").agg(F.sum("m").alias("m"))
+    at = {x: F.substring("w", a, n).alias(f"at_{x}") for x, (a, n) in parts.items()}
+    # only where the narrow piece is spelled in several ways, or the script asks for another look-alike
+    several = kinds.groupBy(at["n"]).agg((F.min("c") != F.max("c")).alias("several"))
+    full = kinds.where("free").select("w", "c", "s", *at.values()).distinct().join(several, "at_n").where(F.col("several") | (F.col("s") != F.col("c")))
+    for x in parts:
+        per = kinds.groupBy(at[x], "c").agg(F.sum("m").alias("m"))
         full = full.join(per.groupBy(f"at_{x}").agg(F.collect_list(F.struct("m", "c")).alias(f"has_{x}")), f"at_{x}")
     stored = kinds.where(F.col("s") == F.col("c")).groupBy(F.col("w").alias("at_w"), "c").agg(F.sum("rows").alias("m"))
     full = full.join(stored.groupBy("at_w").agg(F.collect_list(F.struct("m", "c")).alias("copies")), "at_w", "left")
@@ -154,5 +242,6 @@ def _fixes(occ: DataFrame) -> DataFrame:
     both = F.transform(F.array_distinct(F.transform(sides, lambda x: x.c)), lambda c: F.struct(F.aggregate(F.filter(sides, lambda x: x.c == c), F.lit(0).cast("bigint"), lambda acc, x: acc + x.m).alias("m"), c.alias("c")))
     known = (F.size(others(F.col("has_w"))) > 0) | (F.size(others(F.col("has_n"))) > 0)
     rival = F.array_max(others(F.col("has_w"))).m >= F.filter("has_w", lambda x: x.c == F.col("c"))[0].m
-    to = F.coalesce(verdict(F.col("has_w")), verdict(F.col("has_n")), F.when(F.col("s") != F.col("c"), F.col("s")), F.when(known, verdict(both)), F.when(rival, verdict(F.col("copies"))))
+    asked = (F.col("s") != F.col("c")) & F.exists(sides, lambda x: x.c == F.col("s"))
+    to = F.coalesce(verdict(F.col("has_w")), verdict(F.col("has_n")), F.when(asked, F.col("s")), F.when(known, verdict(both)), F.when(rival, verdict(F.col("copies"))))
     return full.select("w", "c", "s", to.alias("to")).where(F.col("to") != F.col("c"))

@@ -5,7 +5,7 @@ from shirabe.llm.mapping import UNMATCHED, Matcher, edits, map_values
 from shirabe.llm.pii import field_name, find_items, learn_names, plain_items
 from shirabe.llm.residue import find_residue, residue_kind, without_residue
 from shirabe.llm.truncation import broken_end, find_cut, unclosed
-from shirabe.llm.unify import base_form, unify
+from shirabe.llm.unify import base_form, dominant, unify
 
 
 def test_forms_of_look_alikes(spark):
@@ -34,6 +34,14 @@ def test_look_alikes_do_not_depend_on_copies(spark):
         assert {(r.t, r.clean) for r in got} == {(wrong[0], "痛みが重なり、起きる"), (wrong[1], "朝は重なり続ける"), (wrong[2], "IgX 関連狭窄")}
 
 
+def test_words_change_whole_only_if_mixed_and_known(spark):
+    texts = ["a paper cop here", "one more cop", "cop", "сор", "pаpеr", "a pарer cut", "no zаzа word", "Сa 欠乏", "Са 欠乏", "Ca 欠乏性", "Ca 欠乏症", "Ca 欠乏型", "Ca 欠乏症状", "Ca 欠乏気味", "Ca 欠乏傾向", "Ca 欠乏期", "α波と β波"]
+    got = {r.t: r.clean for r in unify(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), ["k"], "t").collect()}
+    changed = {"pаpеr": "paper", "a pарer cut": "a paper cut", "Сa 欠乏": "Ca 欠乏", "Са 欠乏": "Ca 欠乏"}
+    assert got == {t: changed.get(t, t) for t in texts}
+    assert dominant("pаpеr") == "LATIN" and dominant("ао") == "" and dominant("жа") == "CYRILLIC"
+
+
 def test_base_form_is_stable():
     for s in ["ｶﾞ①…", "a­b﻿c", "⽪膚", "  x　", ""]:
         assert base_form(base_form(s)) == base_form(s)
