@@ -1,9 +1,11 @@
 """Template residue, filler, pending notes, error pages and page controls in place of content.
 
 Everything is one column expression in the JVM: full-width signs are folded to ASCII, then each
-kind of slot has a grammar of its own delimiters, and each kind of notice its patterns.  In long
-texts a match counts less: code fences are taken out first, and the matched characters must make
-up ``density`` of the text, so a tutorial that shows a placeholder is not residue.
+kind of slot has a grammar of its own delimiters, and each kind of notice its patterns.  The same
+rules hold at every length.  Code is taken out unless nothing else is there; a slot that a sentence
+explains (words of explanation beside it) is taken out too; what is left to match must make up
+``density`` of the text, so a tutorial that shows a placeholder is not residue.  Phrases that a real
+sentence may hold as well (``TOPICS``) must make up ``topic_density``.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.functions.text import let
+
 # Words that name what a slot stands for, where the delimiters alone do not tell.
 SLOT_WORDS = "placeholder|label|name|title|text|value|term|symptom|insert|fill|日本語名|和名|病名|名称|ラベル|訳語|訳文|記入|入力|ここに|未設定|プレースホルダ"
 # One grammar per pair of delimiters.
@@ -36,43 +40,58 @@ PENDING = [
 ERRORS = [
     r"(?i)(?:^|\D)[45]\d\d\s*(?:not found|forbidden|unauthorized|bad (?:gateway|request)|(?:internal )?server error|internal error|service (?:temporarily )?unavailable|gateway time-?out|gone|too many requests|error)",
     r"(?i)access denied|permission denied|connection (?:refused|reset|timed out)|request timed out|page not found|null ?pointer|traceback \(most|stack ?trace|exception in thread",
-    r"(?:^|[^A-Za-z])(?:undefined|NaN|null|NULL|None|nil)(?:$|[^A-Za-z])", r"undefined(?:undefined|\d|。)", r"\[object \w+\]", r"権限がありません", r"(?:接続|通信|処理|応答)が?(?:タイムアウト|切れ|できません)", r"タイムアウトしました", r"(?:表示|接続|取得|処理|実行|検索)でき(?:ません|ませんでした)", r"応答(?:しません|がありません)",
-    r"メンテナンス中", r"アクセスが集中", r"(?:削除|移動)され(?:た|て)(?:か|いる|います)", r"(?:見つかり|存在し)ません", r"結果は\s*\d+\s*件", r"エラーが(?:発生|起き)", r"^\W*エラー\s*[|:：]", r"有効期限が切れ", r"再度お試し", r"しばらく(?:して|待って|お待ち)", r"<title>",
-    r"(?i)java\s?script", r"(?i)<\/?noscript", r"(?i)enable (?:cookies|scripts?)|please enable|cookies? (?:must|is|are)", r"スクリプトを(?:有効|使|オン|許可)", r"(?:Cookie|クッキー)と?(?:スクリプト)?を", r"有効にして(?:ください|から)", r"再読み込みして",
+    r"(?:^|[^A-Za-z])(?:undefined|NaN|null|NULL|None|nil)(?:$|[^A-Za-z])", r"undefined(?:undefined|\d|。)", r"\[object \w+\]", r"(?:接続|通信|処理|応答)が?(?:タイムアウト|切れ|できません)", r"タイムアウトしました", r"(?:表示|接続|取得|処理|実行|検索)でき(?:ません|ませんでした)", r"応答(?:しません|がありません)",
+    r"(?:削除|移動)され(?:た|て)(?:か|いる|います)", r"(?:見つかり|存在し)ません", r"結果は\s*\d+\s*件", r"エラーが(?:発生|起き)", r"^\W*エラー\s*[|:：]", r"有効期限が切れ", r"再度お試し", r"しばらく(?:して|待って|お待ち)", r"<title>",
+    r"(?i)<\/?noscript", r"(?i)enable (?:cookies|scripts?)|please enable|cookies? (?:must|is|are)", r"スクリプトを(?:有効|使|オン|許可)", r"(?:Cookie|クッキー)と?(?:スクリプト)?を", r"有効にして(?:ください|から)", r"再読み込みして",
 ]
 # Controls and notices of a web page or tool.
 CONTROLS = [
-    r"シェアする", r"広告を(?:非表示|表示|閉じる)", r"会員登録(?:後|して|が必要|はこちら)", r"続きは(?:会員|こちら|ログイン)", r"続きを読む", r"アプリで開く", r"(?:音声|動画)を再生", r"ログイン(?:して|が必要|はこちら)", r"(?:単語帳|お気に入り|ブックマーク)に(?:保存|追加|登録)", r"翻訳結果\s*[:：]", r"以下に.{0,12}(?:示し|記載し|記し)ます", r"^\W*(?:ホーム|トップページ|メニュー|前へ|次へ|もっと見る|すべて表示|コピーする|閉じる|印刷する)\W*$", r"利用規約", r"プライバシーポリシー", r"(?i)(?:sign|log) in to|subscribe to|click here|read more|all rights reserved|share this",
+    r"シェアする", r"広告を(?:非表示|表示|閉じる)", r"会員登録(?:後|して|が必要|はこちら)", r"続きは(?:会員|こちら|ログイン)", r"続きを読む", r"アプリで開く", r"(?:音声|動画)を再生", r"ログイン(?:して|が必要|はこちら)", r"(?:単語帳|お気に入り|ブックマーク)に(?:保存|追加|登録)", r"翻訳結果\s*[:：]", r"以下に.{0,12}(?:示し|記載し|記し)ます", r"^\W*(?:ホーム|トップページ|メニュー|前へ|次へ|もっと見る|すべて表示|コピーする|閉じる|印刷する)\W*$", r"(?i)(?:sign|log) in to|subscribe to|click here|read more|all rights reserved|share this",
 ]
-KINDS = {"slot": SLOTS, "filler": FILLERS, "pending": PENDING, "error": ERRORS, "control": CONTROLS}
+# Phrases of notices that a real sentence may hold as well.
+TOPICS = [r"権限がありません", r"メンテナンス中", r"アクセスが集中", r"(?i)java\s?script", r"利用規約", r"プライバシーポリシー"]
+# Words that explain a slot, before it and after it.
+EXPLAINS_BEFORE = r"例えば|たとえば|書式|記法|構文|差し込み|プレースホルダー?の|テンプレートの|(?i:for example|e\.g\.|such as|syntax|written as)"
+EXPLAINS_AFTER = r"のように|などと書|と書[くきけい]|と記述|を置き換え|に置換|を置換|が展開|という(?:記法|書式|構文)|(?i:is replaced|will be replaced|expands to|stands for)"
+KINDS = {"slot": SLOTS, "filler": FILLERS, "pending": PENDING, "error": ERRORS, "control": CONTROLS, "topic": TOPICS}
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
-SHORT = 200
+_CODE = r"(?s)```.*?```|(?m)^(?: {4}|\t).*$|`[^`\n]+`"
+
+
+def _any(patterns: list[str]) -> str:
+    return "(?:" + ")|(?:".join(patterns) + ")"
 
 
 def folded(col: Column) -> Column:
-    """Full-width signs as ASCII, code fences and inline code taken out of long texts, trimmed."""
-    plain = F.translate(col, _WIDE, _PLAIN)
-    prose = F.regexp_replace(plain, r"(?s)```.*?```|`[^`\n]+`", " ")
-    return F.regexp_replace(F.when(F.length(plain) > SHORT, prose).otherwise(plain), r"(?U)^\s+|\s+$", "")
+    """Full-width signs as ASCII, trimmed; code is taken out if there is prose beside it."""
+    plain = F.regexp_replace(F.translate(col, _WIDE, _PLAIN), r"(?U)^\s+|\s+$", "")
+    prose = F.regexp_replace(F.regexp_replace(plain, _CODE, " "), r"(?U)^\s+|\s+$", "")
+    return F.when(prose.rlike(r"[\p{L}\p{N}]"), prose).otherwise(plain)
 
 
-def residue_kind(col: Column, density: float = 0.02) -> Column:
+def residue_kind(col: Column, density: float = 0.02, topic_density: float = 0.3) -> Column:
     """The first kind of residue in the text, else null; null, empty and blank texts have none.
 
-    Texts up to ``SHORT`` characters count with any match; in longer ones the matches must make up
-    ``density`` of the characters.
+    The matches of a kind must make up ``density`` of the characters (``topic_density`` for
+    phrases that real sentences hold too), at every length alike.
     """
-    text = folded(col)
-    chain = None
-    for kind, patterns in KINDS.items():
-        p = ("(?i)" if kind == "slot" else "") + "(?:" + ")|(?:".join(patterns) + ")"
-        rest = F.length(text) - F.length(F.regexp_replace(text, p, ""))
-        hit = text.rlike(p) & ((F.length(text) <= SHORT) | (rest >= F.length(text) * density))
-        chain = F.when(hit, F.lit(kind)) if chain is None else chain.when(hit, F.lit(kind))
-    return chain
 
+    def judged(text: Column) -> Column:
+        slot = _any(SLOTS)
+        told = rf"(?:{EXPLAINS_BEFORE})[^。\n]{{0,15}}?(?:{slot})|(?:{slot})[^。\n]{{0,15}}?(?:{EXPLAINS_AFTER})"
+        chain = None
+        for kind, patterns in KINDS.items():
+            p = ("(?i)" if kind == "slot" else "") + _any(patterns)
+            own = F.regexp_replace(text, "(?i)" + told, "") if kind == "slot" else text
+            share = density if kind != "topic" else topic_density
+            enough = F.length(own) - F.length(F.regexp_replace(own, p, "")) >= F.length(text) * share
+            hit = own.rlike(p) & enough
+            name = F.lit("control" if kind == "topic" else kind)
+            chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+        return chain
 
+    return let(folded(col), judged)
 
 
 def find_residue(df: DataFrame, text: str, kind: str = "kind", density: float = 0.02) -> DataFrame:

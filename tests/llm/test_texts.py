@@ -88,6 +88,20 @@ def test_residue_in_long_texts_and_tables(spark):
     assert find_residue(df.where("false").select("t"), "t").count() == 0
 
 
+@pytest.mark.parametrize("long", [0, 10, 60])
+def test_residue_rules_do_not_depend_on_length(spark, long):
+    more = "この欄には症状の説明を書きます。" * long
+    tutorial = [more + "差し込みは `{{name}}` で行います。", more + "例えば{{name}}のように書きます。", more + "The {{name}} slot is replaced by a value."]
+    topic = ["この病院では利用規約を読んだあとに症状の記録を始めることになっています。" + more, more + "JavaScriptの画面を長く見続けた後に目の奥が痛くなる症状が何度も起きている。"]
+    for t in tutorial + topic:
+        assert spark.createDataFrame([(t,)], "t string").select(residue_kind(F.col("t"))).first()[0] is None, t
+    short = [("`{{name}}`", "slot"), ("利用規約", "control"), ("JavaScriptが無効です", "control"), ("頭痛 {{name}}", "slot"), ("```\nTODO\n```", "pending")]
+    for t, kind in short:
+        assert spark.createDataFrame([(t,)], "t string").select(residue_kind(F.col("t"))).first()[0] == kind, t
+    dense = more + "{{name}} ${x} " * (long + 1)
+    assert spark.createDataFrame([(dense,)], "t string").select(residue_kind(F.col("t"))).first()[0] == "slot"
+
+
 REFS = [(f"T{i:03d}", p + m + e, pr + mr + er) for i, ((p, pr), (m, mr), (e, er)) in enumerate((p, m, e) for p in [("一過性", "いっかせい"), ("重症型", "じゅうしょうがた"), ("家族性", "かぞくせい")] for m in [("膝関節", "しつかんせつ"), ("横隔膜", "おうかくまく"), ("肝門部", "かんもんぶ")] for e in [("石灰沈着", "せっかいちんちゃく"), ("機能低下", "きのうていか"), ("亀裂骨折", "きれつこっせつ")])]
 
 
