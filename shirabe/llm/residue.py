@@ -42,6 +42,7 @@ ERRORS = [
     r"(?i)access denied|permission denied|connection (?:refused|reset|timed out)|request timed out|page not found|null ?pointer|traceback \(most|stack ?trace|exception in thread",
     r"(?:^|[^A-Za-z])(?:undefined|NaN|null|NULL|None|nil)(?:$|[^A-Za-z])", r"undefined(?:undefined|\d|。)", r"\[object \w+\]", r"(?:接続|通信|処理|応答)が?(?:タイムアウト|切れ|できません)", r"タイムアウトしました", r"(?:表示|接続|取得|処理|実行|検索)でき(?:ません|ませんでした)", r"応答(?:しません|がありません)",
     r"(?:削除|移動)され(?:た|て)(?:か|いる|います)", r"(?:見つかり|存在し)ません", r"結果は\s*\d+\s*件", r"エラーが(?:発生|起き)", r"^\W*エラー\s*[|:：]", r"有効期限が切れ", r"再度お試し", r"しばらく(?:して|待って|お待ち)", r"<title>",
+    r"権限がありません\W*(?:\W\d|$)", r"アクセスが集中して(?:います|おります)", r"(?i)(?:enable|allow|requires?|activate|turn(?:ing)? on|without)\s+java\s?script|java\s?script\s*(?:が|を|は|to be|is|must be|has been)?\s*(?:disabled|required|enabled|turned|必要|無効|有効|オフ|オン|使え|使用|許可)",
     r"(?i)<\/?noscript", r"(?i)enable (?:cookies|scripts?)|please enable|cookies? (?:must|is|are)", r"スクリプトを(?:有効|使|オン|許可)", r"(?:Cookie|クッキー)と?(?:スクリプト)?を", r"有効にして(?:ください|から)", r"再読み込みして",
 ]
 # Controls and notices of a web page or tool.
