@@ -4,10 +4,11 @@ An automaton over canonical labels, readings and aliases finds embedded mentions
 non-overlapping ones win.  Aliases are made from the list itself: labels fall into a beginning, a
 middle and an end that recur in other labels (found by how many different characters follow or
 precede them), the readings of these parts follow from the readings of the labels, and each label
-gets its parts in the usual orders, each part by sign or by reading.  What the automaton leaves
-goes to token-set similarity: the forms that share most character pairs with the value are
-compared by edit distance, and the closest is meant if the edits are few against what
-distinguishes it from its neighbours.
+gets its parts in the usual orders, each part by sign or by reading.  An alias of several entries
+names none of them.  What the automaton leaves goes to token-set similarity: tokens are the pairs of
+adjacent characters, the sets meet through inverted lists, and every form whose set is close enough
+to be within the allowed number of edits is verified by edit distance; the closest is meant.  No
+form is left out that could win: an edit removes at most three pairs of a set.
 """
 
 from __future__ import annotations
@@ -112,14 +113,18 @@ class Matcher:
                     choices = [[(b, m, e)[x], *said.get((x, (b, m, e)[x]), ())] if x != "の" else ["の"] for x in order]
                     for pick in itertools.product(*choices):
                         forms.append(("".join(pick), i, tail))
+        owners: dict[str, set[int]] = defaultdict(set)
+        for form, i, _ in forms:
+            owners[form].add(i)
+        label_of = {lab: i for i, lab in reversed(list(enumerate(labels)))}
         auto = ahocorasick.Automaton()
-        seen: dict[str, int] = {}
+        seen: set[str] = set()
         self.forms: list[tuple[str, int, int]] = []
         for form, i, tail in forms:
-            if form in seen:
+            if form in seen or (len(owners[form]) > 1 and label_of.get(form) != i):
                 continue
-            seen[form] = i
-            self.exact.setdefault(form, i)
+            seen.add(form)
+            self.exact[form] = i
             self.forms.append((form, i, tail))
             if len(form) >= 4:
                 auto.add_word(form, (len(form), i))
@@ -128,10 +133,14 @@ class Matcher:
         self.auto = auto
         grams: dict[str, list[int]] = defaultdict(list)
         for k, (form, _, _) in enumerate(self.forms):
-            for g in {form[j : j + 2] for j in range(len(form) - 1)}:
+            for g in _pairs(form):
                 grams[g].append(k)
-        self.grams = {g: np.array(v) for g, v in grams.items()}
-        self.lens = np.array([max(len(f) - 1, 1) for f, _, _ in self.forms])
+        self.grams = {g: np.array(v, np.int32) for g, v in grams.items()}
+        self.size = np.array([len(_pairs(f)) for f, _, _ in self.forms], np.int64)
+        self.chars = np.array([len(f) for f, _, _ in self.forms], np.int64)
+        self.most = np.array([int(limit * tail) for _, _, tail in self.forms], np.int64)
+        # forms so short that an allowed number of edits may leave no pair of them
+        self.loose = np.flatnonzero(self.size <= EDIT_PAIRS * self.most)
 
     @staticmethod
     def _readings(parts, readings) -> dict[tuple[int, str], set[str]]:
@@ -181,47 +190,60 @@ class Matcher:
         return self.ids[best[3]] if best else UNMATCHED
 
     def _nearest(self, text: str) -> tuple[float, int, int, int] | None:
-        if len(text) < 2:
+        """(edits by distinguishing characters, edits, -common pairs, entry) of the closest form, exactly."""
+        if len(text) < 2 or not self.forms:
             return None
-        rows = [self.grams[g] for g in {text[j : j + 2] for j in range(len(text) - 1)} if g in self.grams]
-        if not rows:
-            return None
-        both = np.bincount(np.concatenate(rows), minlength=len(self.forms))
-        near = both / (self.lens + len(text) - 1 - both)
-        top = np.argsort(-near, kind="stable")[:48]
+        pairs = _pairs(text)
+        rows = [self.grams[g] for g in pairs if g in self.grams]
+        ids, both = np.unique(np.concatenate([*rows, self.loose.astype(np.int32)]), return_counts=True)
+        both = both - np.isin(ids, self.loose, assume_unique=True)
+        most = self.most[ids]
+        able = (np.abs(self.chars[ids] - len(text)) <= most) & (np.maximum(self.size[ids], len(pairs)) - both <= EDIT_PAIRS * most)
+        ids, both = ids[able], both[able]
+        order = np.argsort(-both, kind="stable")
+        ids, both = ids[order], both[order]
         best = None
-        for k in top:
-            if near[k] <= 0:
-                break
-            form, i, tail = self.forms[k]
-            most = int(self.limit * tail)
-            if best is not None:
-                most = min(most, best[1])
-            d = edits(text, form, most)
-            if d <= most:
-                cand = (d / tail, d, -int(both[k]), i)
+        lo, step = 0, 16
+        while lo < len(ids):
+            if best is not None and len(pairs) - both[lo] > EDIT_PAIRS * best[1]:
+                break  # fewer common pairs from here on: none can be as close
+            part = ids[lo : lo + step]
+            d = edits_all(text, [self.forms[k][0] for k in part])
+            for x in np.flatnonzero(d <= self.most[part]):
+                _, i, tail = self.forms[part[x]]
+                cand = (d[x] / tail, int(d[x]), -int(both[lo + x]), i)
                 if best is None or cand[1:] < best[1:]:
                     best = cand
+            lo, step = lo + step, min(step * 4, 1024)
         return best
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours; anything above ``most`` counts as ``most + 1``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, before, row = before, row, [i]
-        low = i
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, last[j - 2] + 1)
-            row.append(d)
-            low = min(low, d)
-        if low > most:
-            return most + 1
-    return row[-1]
+EDIT_PAIRS = 3  # pairs of adjacent characters that one edit (a swap) can remove
+
+
+def _pairs(text: str) -> set[str]:
+    return {text[j : j + 2] for j in range(len(text) - 1)}
+
+
+def edits_all(a: str, others: list[str]) -> np.ndarray:
+    """Edit distances (with swaps of neighbours) of one text to many, all at once."""
+    width, n = max(map(len, others), default=0), len(others)
+    codes = np.frombuffer("".join([o.ljust(width, "\0") for o in others]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+    step = np.arange(width + 1, dtype=np.int16)
+    last = before = np.broadcast_to(step, (n, width + 1))
+    hit_before = None
+    for i, x in enumerate(map(ord, a), 1):
+        hit = codes == x
+        row = np.empty((n, width + 1), np.int16)
+        row[:, 0] = i
+        np.minimum(before[:, 1:] + 1, before[:, :-1] + ~hit, out=row[:, 1:])
+        if hit_before is not None and width > 1:
+            np.minimum(row[:, 2:], np.where(hit[:, :-1] & hit_before[:, 1:], last[:, :-2] + 1, row[:, 2:]), out=row[:, 2:])
+        row -= step  # insertions: the running minimum along the text
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += step
+        last, before, hit_before = before, row, hit
+    return before[np.arange(n), [len(o) for o in others]].astype(np.int64)
 
 
 def map_values(df: DataFrame, keys: list[str], text: str, refs: DataFrame, ref_id: str, label: str, reading: str | None = None, out: str = "ref_id", limit: float = 0.55) -> DataFrame:
@@ -229,7 +251,7 @@ def map_values(df: DataFrame, keys: list[str], text: str, refs: DataFrame, ref_i
 
     The reference list is bounded: more than ``MAX_ENTRIES`` entries are refused, as they are sent
     to every executor.  Each distinct value is matched once.  Ties go to the form that shares more
-    character pairs, then to the smaller id.  An empty list leaves every value unmatched.
+    character pairs, then to the smaller id; an alias that several entries share names none of them.  An empty list leaves every value unmatched.
     """
     cols = [F.col(ref_id).cast("string"), F.col(label), F.col(reading) if reading else F.lit(None).cast("string")]
     entries = [tuple(r) for r in refs.select(*cols).limit(MAX_ENTRIES + 1).collect()]

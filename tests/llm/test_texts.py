@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from shirabe.llm.mapping import UNMATCHED, Matcher, edits, map_values
+from shirabe.llm.mapping import UNMATCHED, Matcher, edits_all, key_form, map_values
 from shirabe.llm.pii import field_name, find_items, learn_names, plain_items
 from shirabe.llm.residue import find_residue, residue_kind, without_residue
 from shirabe.llm.truncation import broken_end, find_cut, unclosed
@@ -95,7 +97,7 @@ def test_residue_rules_do_not_depend_on_length(spark, long):
     topic = ["この病院では利用規約を読んだあとに症状の記録を始めることになっています。" + more, more + "JavaScriptの画面を長く見続けた後に目の奥が痛くなる症状が何度も起きている。"]
     for t in tutorial + topic:
         assert spark.createDataFrame([(t,)], "t string").select(residue_kind(F.col("t"))).first()[0] is None, t
-    short = [("`{{name}}`", "slot"), ("利用規約", "control"), ("JavaScriptが無効です", "control"), ("頭痛 {{name}}", "slot"), ("```\nTODO\n```", "pending")]
+    short = [("`{{name}}`", "slot"), ("利用規約", "control"), ("JavaScriptが無効です", "error"), ("頭痛 {{name}}", "slot"), ("```\nTODO\n```", "pending")]
     for t, kind in short:
         assert spark.createDataFrame([(t,)], "t string").select(residue_kind(F.col("t"))).first()[0] == kind, t
     dense = more + "{{name}} ${x} " * (long + 1)
@@ -121,8 +123,38 @@ def test_matching(spark):
     assert map_values(df, ["k"], "t", refs.where("false"), "ref_id", "ref_label", "ref_kana").where(f"ref_id <> '{UNMATCHED}'").count() == 0
 
 
-def test_edits():
-    assert edits("abcd", "acbd", 3) == 1 and edits("abc", "abc", 0) == 0 and edits("abc", "xyz", 1) == 2 and edits("", "ab", 3) == 2
+def brute_edits(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if i * j == 0}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_edits_at_once_equal_brute_force():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abあ") for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    for a in words[:20]:
+        assert edits_all(a, words).tolist() == [brute_edits(a, w) for w in words]
+
+
+def test_no_form_that_could_win_is_left_out():
+    """More than 48 neighbours share more pairs with the value than the form that is closest."""
+    rng = random.Random(5)
+    refs = [(f"A{i:03d}", "頭部" + "".join(rng.choice("あいうえおかきくけこ") for _ in range(7)), None) for i in range(150)] + [("Z", "痛覚鈍麻傾向症候", None)]
+    m = Matcher(refs)
+    for value in ["覚痛鈍麻傾向症候", "痛覚麻鈍傾向症群", *("頭部" + "".join(rng.sample(r[1][2:], 7)) for r in refs[:60])]:
+        text, found = key_form(value), m.find(value)
+        near = sorted((brute_edits(text, f), i) for f, i, tail in m.forms if brute_edits(text, f) <= int(m.limit * tail))
+        assert (found == UNMATCHED) == (not near), value
+        assert not near or brute_edits(text, next(f for f, i, _ in m.forms if m.ids[i] == found)) == near[0][0], value
+
+
+def test_shared_aliases_name_nobody():
+    m = Matcher([("a", "甲乙丙丁戊", "よみかた"), ("b", "己庚辛壬癸", "よみかた")])
+    assert m.find("よみかた") == UNMATCHED and m.find("甲乙丙丁戊") == "a"
 
 
 @pytest.mark.parametrize(("text", "want"), [
