@@ -3,10 +3,11 @@
 Only the histogram of lengths (at most ``capacity`` numbers) reaches the driver.  There the
 configuration linear program - patterns of lengths that fit one container, as few containers as
 possible - is solved by multiplicative weights: the weights price the lengths, a knapsack dynamic
-program finds the best pattern for these prices, the pattern is used for a small share of the
-demand, and the prices of what it served fall.  The fractional counts are rounded down, the rest
-is solved again, and the last items are placed best fit, largest first.  The result is a table of
-patterns with multiplicities; its size depends on the capacity, not on the number of items.
+program finds the best patterns for these prices, they are used for a small share of the demand,
+and the prices of what they served fall.  The fractional counts are rounded down, the rest is
+solved again until nothing is gained or the lower bound is met, and the last items are placed best
+fit, largest first, whole length classes at a time.  The result is a table of patterns with
+multiplicities; its size, and the work for it, depend on the capacity, not on the number of items.
 
 Items find their place without a shuffle of the corpus: the n-th item of a length (numbered by
 partition offsets and a rank inside the partition) goes to the n-th place for that length.
@@ -28,8 +29,8 @@ from shirabe.session import materialize
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), lengths falling
 
 
-def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """Most valuable multiset of sizes within the capacity."""
+def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int, many: int = 8) -> list[dict[int, int]]:
+    """The most valuable multisets of sizes within the capacity: the best one, then the best that begin with another size."""
     best = np.zeros(capacity + 1)
     take = np.full(capacity + 1, -1, np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -44,16 +45,19 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int,
                 best[c], take[c] = gain[k], k
                 continue
         best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-            continue
-        size = int(sizes[take[c]])
-        out[size] = out.get(size, 0) + 1
-        c -= size
-    return out
+
+    def filled(c: int, out: dict[int, int]) -> dict[int, int]:
+        while c > 0:
+            if take[c] < 0:
+                c -= 1
+                continue
+            size = int(sizes[take[c]])
+            out[size] = out.get(size, 0) + 1
+            c -= size
+        return out
+
+    whole = values + best[capacity - sizes]
+    return [filled(capacity - int(sizes[k]), {int(sizes[k]): 1}) for k in np.argsort(-whole, kind="stable")[:many]]
 
 
 def _fractional(demand: dict[int, int], capacity: int, rounds: int, rate: float) -> dict[Pattern, float]:
@@ -68,43 +72,58 @@ def _fractional(demand: dict[int, int], capacity: int, rounds: int, rate: float)
     for _ in range(rounds):
         share = served / need
         weight = np.exp(-rate * (share - share.min()))
-        pattern = _knapsack(sizes / capacity * weight, sizes, capacity)
-        counts = np.zeros(len(sizes))
-        for s, a in pattern.items():
-            counts[index[s]] = a
-        hit = counts > 0
-        amount = min(step, float((need[hit] / counts[hit]).min()))
-        key = tuple(sorted(pattern.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + amount
-        served += counts * amount
+        patterns = {tuple(sorted(p.items(), reverse=True)): p for p in _knapsack(sizes / capacity * weight, sizes, capacity)}
+        for key, pattern in patterns.items():
+            at, counts = [index[s] for s in pattern], np.array(list(pattern.values()), float)
+            amount = min(step / len(patterns), float((need[at] / counts).min()))
+            used[key] = used.get(key, 0.0) + amount
+            served[at] += counts * amount
     return used
 
 
 def _best_fit(demand: dict[int, int], capacity: int) -> dict[Pattern, int]:
-    """Best fit, largest first, over what is left."""
-    free: list[tuple[int, int]] = []  # (free space, container)
-    content: list[dict[int, int]] = []
+    """Best fit, largest first, over what is left: equal containers are filled together.
+
+    An item goes where it leaves least room, so a container that takes one item of a length takes as
+    many of it as fit before the next one does; a class of equal containers is cut in at most three.
+    """
+    boxes: dict[tuple[int, Pattern], int] = {}  # (room, content) -> how many containers
+    rooms: list[tuple[int, Pattern]] = []  # the same keys in order
+
+    def add(room: int, content: Pattern, n: int) -> None:
+        if n and (room, content) not in boxes:
+            bisect.insort(rooms, (room, content))
+        if n:
+            boxes[room, content] = boxes.get((room, content), 0) + n
+
     for size in sorted(demand, reverse=True):
-        for _ in range(demand[size]):
-            at = bisect.bisect_left(free, (size, -1))
-            if at < len(free):
-                room, box = free.pop(at)
-            else:
-                room, box = capacity, len(content)
-                content.append({})
-            content[box][size] = content[box].get(size, 0) + 1
-            if room > size:
-                bisect.insort(free, (room - size, box))
+        left = demand[size]
+        while left:
+            at = bisect.bisect_left(rooms, (size, ()))
+            old = at < len(rooms)
+            room, content = rooms[at] if old else (capacity, ())
+            fits = room // size
+            n = min(left // fits, boxes[room, content]) if old else left // fits
+            rest = left - n * fits if not old or n < boxes[room, content] else 0
+            if old:
+                boxes[room, content] -= n + (rest > 0)
+                if not boxes[room, content]:
+                    del boxes[room, content], rooms[at]
+            add(room - fits * size, (*content, (size, fits)), n)
+            if rest:
+                add(room - rest * size, (*content, (size, rest)), 1)
+            left -= n * fits + rest
     out: dict[Pattern, int] = {}
-    for box in content:
-        key = tuple(sorted(box.items(), reverse=True))
-        out[key] = out.get(key, 0) + 1
+    for (_, content), n in boxes.items():
+        key = tuple(sorted(content, reverse=True))
+        out[key] = out.get(key, 0) + n
     return out
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int, rounds: int = 160, rate: float = 6.0, passes: int = 6) -> list[tuple[Pattern, int]]:
+def plan_patterns(histogram: dict[int, int], capacity: int, rounds: int = 24, rate: float = 6.0, passes: int = 6) -> list[tuple[Pattern, int]]:
     """Patterns with multiplicities that hold exactly the histogram's items."""
     rest = {int(s): int(n) for s, n in histogram.items() if n > 0}
+    least = lower_bound(rest, capacity)
     plan: dict[Pattern, int] = {}
     for _ in range(passes):
         if sum(rest.values()) <= 4 * len(rest) or not rest:
@@ -119,7 +138,8 @@ def plan_patterns(histogram: dict[int, int], capacity: int, rounds: int = 160, r
             for s, a in pattern:
                 rest[s] -= a * times
         rest = {s: n for s, n in rest.items() if n}
-        if sum(rest.values()) > 0.98 * before:
+        last = _best_fit(rest, capacity)
+        if sum(rest.values()) > 0.98 * before or sum(plan.values()) + sum(last.values()) <= least:
             break
     for pattern, times in _best_fit(rest, capacity).items():
         plan[pattern] = plan.get(pattern, 0) + times

@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shirabe.llm.bpe import DEFAULT_VOCAB, codec, count_column, decode_column, encode_column
-from shirabe.llm.packing import lower_bound, pack, plan_patterns
+from shirabe.llm.packing import _best_fit, lower_bound, pack, plan_patterns
 
 tokenizers = pytest.importorskip("tokenizers")
 PIECES = ["a", "b", "the", "ing", " ", "  ", "\n", "é", "日", "本", "ｶﾞ", "🙂", "​", "'s", "12", "!?", "<|endoftext|>", "aaaa", "\x00", "ー", "・"]
@@ -62,6 +63,32 @@ def test_patterns_hold_the_histogram(seed):
     assert used <= max(lower_bound(hist, 100), alone) * 1.25 + 2
 
 
+def one_by_one(demand, capacity):
+    rooms = []
+    for size in sorted(demand, reverse=True):
+        for _ in range(demand[size]):
+            fit = [r for r in rooms if r >= size]
+            room = min(fit) if fit else capacity
+            if fit:
+                rooms.remove(room)
+            rooms.append(room - size)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_by_classes_equals_one_by_one(seed):
+    rng = random.Random(seed)
+    demand = {rng.randint(1, 100): rng.randint(1, 30) for _ in range(rng.randint(1, 25))}
+    boxes = _best_fit(demand, 100)
+    assert sorted(100 - sum(s * a for s, a in p) for p, n in boxes.items() for _ in range(n)) == one_by_one(demand, 100)
+
+
+def test_work_depends_on_lengths_not_on_items():
+    began = time.process_time()
+    plan = plan_patterns({1100: 300_000_000, 1030: 200_000_000, 7: 5}, 2048)
+    assert sum(n for _, n in plan) == 500_000_000 and time.process_time() - began < 20
+
+
 def test_packing_a_table(spark):
     rng = random.Random(1)
     sizes = {i: rng.choice([0, 3, 17, 40, 64, 65, 200, None, 128]) for i in range(3000)}
