@@ -6,7 +6,10 @@ num/den differ in at most ``(s + s') (den - num) / (den + num)`` n-grams.  With
 many fragments as that, some fragment differs in at most one n-gram, so one of the two records
 has in it exactly the other's part, or that part less one n-gram.  Every record therefore sends
 one key per fragment (the part) and one per n-gram (the part without it); equal keys make a
-candidate.  Candidates pass a 64-bit parity sketch that rides along (it can only underestimate
+candidate.  Nothing is learnt from two parts that are both empty, so an empty part sends no key:
+a record whose part is empty, or holds one n-gram only, sends the keys of its other n-grams in a
+second order instead, marked with the fragment, and there again in a third one; so records that are
+merely poor in the same fragment do not meet, and no link is lost.  Candidates pass a 64-bit parity sketch that rides along (it can only underestimate
 the difference), and for the few that remain the overlaps are counted fragment by fragment and
 summed per pair.  The keys are computed per record, so nothing needs a look at all pairs.
 """
@@ -23,6 +26,7 @@ from shirabe.session import materialize
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting step
+DEPTH = 2  # further orders in which records with poor parts meet
 _ROWS_AT_ONCE = 4_000
 _LOW = 20  # lowest bits of a sent key: the size and whether the part is whole
 
@@ -85,36 +89,53 @@ def gram_sets(values: list[list[str]], n: int = 2) -> tuple[np.ndarray, np.ndarr
 def _keys(owner: np.ndarray, gram: np.ndarray, sizes: np.ndarray, num: int, den: int):
     """Record, key, and whether the key stands for the whole part of a fragment."""
     bounds = _levels(int(sizes.max()))
-    token = _mix(gram + _GOLD)
-    spot = _mix(gram) >> np.uint64(32)  # place in the global order, 32 bits
-    own, keys, full = [], [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for level in range(len(bounds) - 1):
         top = bounds[level + 1] - 1
         most = (top + _reach(top, num, den)) * (den - num) // (den + num)
-        frags = most // 2 + 1
         here = (sizes >= bounds[level]) & (sizes <= _reach(top, num, den))
-        if not here.any():
-            continue
-        pick = here[owner]
-        o, t = owner[pick], token[pick]
-        frag = ((spot[pick] * np.uint64(frags)) >> np.uint64(32)).astype(np.int64)
-        records = np.flatnonzero(here)
-        place = np.full(len(sizes), -1, np.int64)
-        place[records] = np.arange(len(records))
-        cell = place[o] * frags + frag
-        total = np.zeros(len(records) * frags, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(total, cell, t)
-            salt = _mix(np.arange(frags, dtype=np.uint64) + np.uint64(1000 * (level + 1)))
-            own.append(np.repeat(records, frags))
-            keys.append(_mix(total + np.tile(salt, len(records))))
-            full.append(np.ones(len(total), bool))
-            own.append(o)
-            keys.append(_mix(total[cell] - t + salt[frag]))
-            full.append(np.zeros(len(o), bool))
+        if here.any():
+            records = np.flatnonzero(here)
+            place = np.full(len(sizes), -1, np.int64)
+            place[records] = np.arange(len(records))
+            pick = here[owner]
+            salt = np.full(len(records), 1000 * (level + 1), np.uint64)
+            _level_keys(records, place[owner[pick]], gram[pick], salt, most, 0, out)
+    own, keys, full = zip(*out)
     return np.concatenate(own), np.concatenate(keys), np.concatenate(full)
 
 
+def _level_keys(records: np.ndarray, row: np.ndarray, gram: np.ndarray, salt: np.ndarray, most: int, depth: int, out: list) -> None:
+    """Keys of sets that may differ in ``most`` n-grams; ``row`` is the place of each n-gram's set in ``records``."""
+    frags = most // 2 + 1
+    token = _mix(gram + _GOLD)
+    spot = _mix(gram + np.uint64(depth * int(_GOLD) % (1 << 64))) >> np.uint64(32)  # place in the global order of this depth, 32 bits
+    frag = ((spot * np.uint64(frags)) >> np.uint64(32)).astype(np.int64)
+    cell = row * frags + frag
+    count = np.bincount(cell, minlength=len(records) * frags)
+    total = np.zeros(len(records) * frags, np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(total, cell, token)
+        mark = _mix(np.repeat(salt, frags) + np.tile(np.arange(frags, dtype=np.uint64), len(records)))
+        again = depth < DEPTH and frags > 1
+        whole = count > 0 if again else np.ones(len(count), bool)
+        out.append((np.repeat(records, frags)[whole], _mix(total + mark)[whole], np.ones(int(whole.sum()), bool)))
+        if most > 0:
+            less = count[cell] > 1 if again else np.ones(len(cell), bool)
+            out.append((records[row[less]], _mix(total[cell] - token + mark[cell])[less], np.zeros(int(less.sum()), bool)))
+    poor = np.flatnonzero(count <= 1)
+    if not again or not len(poor):
+        return
+    # one further set per poor part: the record's n-grams outside it
+    begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(records)))])
+    order = np.argsort(row, kind="stable")
+    size = np.diff(begin)[poor // frags]
+    new_row = np.repeat(np.arange(len(poor)), size)
+    at = order[np.arange(len(new_row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[poor // frags], size)]
+    other = frag[at] != (poor % frags)[new_row]
+    _level_keys(records[poor // frags], new_row[other], gram[at[other]], mark[poor] + np.uint64(1), most, depth + 1, out)
+
+
 def _records(df: DataFrame, key: str, values: str, num: int, den: int, n: int) -> DataFrame:
     """``k``, ``n``, ``sk`` (parity sketch), ``parts`` (the set in fragments) per record that has n-grams."""
 

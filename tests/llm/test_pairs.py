@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from shirabe.llm.neardup import components, gram_sets, near_groups, near_pairs
+from shirabe.llm.neardup import _keys, components, gram_sets, near_groups, near_pairs
 from shirabe.llm.spans import covered, expand_pairs, shared_spans, text_classes
 
 
@@ -41,6 +42,29 @@ def test_near_pairs_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == near_brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sparse_sets_lose_no_link(spark, seed):
+    """Sets just large enough for two or three fragments, so that many parts are empty or hold one n-gram."""
+    rng = random.Random(10 + seed)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(9, 26))) for _ in range(40)]
+    rows = [(i, [edited(rng, rng.choice(base))]) for i in range(400)]
+    assert set(pairs_of(spark.createDataFrame(rows, "key bigint, v array<string>"), rows)) == near_brute(rows)
+
+
+def test_records_poor_in_one_fragment_do_not_meet():
+    """Twice the records, about twice the meetings: no key gathers unrelated records."""
+    rng = random.Random(4)
+
+    def meetings(n):
+        owner, gram = gram_sets([["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))] for _ in range(n)])
+        own, keys, full = _keys(owner, gram, np.bincount(owner, minlength=n), 4, 5)
+        _, at = np.unique(keys, return_inverse=True)
+        return float((np.bincount(at, weights=full) * (np.bincount(at) - 1)).sum()), np.bincount(at).max()
+
+    (_, _), (many, largest) = meetings(2000), meetings(8000)
+    assert largest < 40 and many < 8000 * 12
+
+
 def test_no_gram_spans_two_elements():
     owner, gram = gram_sets([["ab", "cd"], ["abcd"], [None, "", "x"]])
     assert [int((owner == i).sum()) for i in range(3)] == [2, 3, 0] and len(gram) == 5
