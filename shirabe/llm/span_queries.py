@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shirabe.llm.spans import covered, expand_pairs, shared_spans, text_classes
+from shirabe.llm.spans import covered, expand_pairs, shared_intervals, shared_links, text_classes, without_repeats
 from shirabe.session import materialize
 
 MIN_CHARS = 200
@@ -17,16 +18,32 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that share at least 200 consecutive characters."""
     docs = _documents(spark, sf)
-    links = shared_spans(docs, "doc_id", "text", MIN_CHARS).select("a", "b").distinct()
+    links = shared_links(docs, "doc_id", "text", MIN_CHARS)
     return expand_pairs(links, text_classes(docs, "doc_id", "text", MIN_CHARS), "doc_id_a", "doc_id_b")
 
 
 def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Per document: characters, characters inside shared passages, characters left after removal of repeats."""
     docs = _documents(spark, sf)
-    spans = materialize(shared_spans(docs, "doc_id", "text", MIN_CHARS), "spans")
-    return covered(spans, text_classes(docs, "doc_id", "text", MIN_CHARS), docs, "doc_id", "text", MIN_CHARS)
+    intervals = materialize(shared_intervals(docs, "doc_id", "text", MIN_CHARS), "intervals")
+    return covered(intervals, text_classes(docs, "doc_id", "text", MIN_CHARS), docs, "doc_id", "text")
 
 
-QUERIES = {"p10_found": p10_found, "p10_coverage": p10_coverage}
+def p10_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the sentences that a document of a smaller id has already."""
+    return without_repeats(_documents(spark, sf), "doc_id", "text", MIN_CHARS).select("doc_id", "kept")
+
+
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document that shares a passage or is a copy: its class and the number of texts it is linked with."""
+    docs = _documents(spark, sf)
+    links = materialize(shared_links(docs, "doc_id", "text", MIN_CHARS), "span-links")
+    classes = text_classes(docs, "doc_id", "text", MIN_CHARS)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+    own = classes.groupBy("rep").agg(F.count("*").alias("n"))
+    rows = classes.join(own, "rep").join(both, "rep", "left").where((F.col("n") > 1) | F.col("n_links").isNotNull())
+    return rows.select(F.col("k").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_coverage": p10_coverage, "p10_kept": p10_kept, "p10_classes": p10_classes}
 ORACLE: dict[str, str] = {}

@@ -8,6 +8,11 @@ the runs that begin within a stretch of positions only the one with the smallest
 (again a choice that both texts make alike).  The sizes are chosen so that every shared passage
 of ``min_chars`` characters holds at least one kept run in full, so joining the runs by hash finds
 every pair; the passage around a common run is then measured character by character.
+
+A run that many texts hold is not compared in pairs: each text sends the hashes of all stretches of
+``min_chars`` characters that hold the run, so a footer shorter than that costs one row per text and
+stretch, and texts are only paired where they do share a whole stretch.  How much of each text is
+shared (``shared_intervals``) needs no pairs of such texts at all.
 """
 
 from __future__ import annotations
@@ -149,29 +154,29 @@ def _common(a: str, i: int, b: str, j: int) -> tuple[int, int]:
     return left, right
 
 
-def shared_spans(df: DataFrame, key: str, text: str, min_chars: int = 200) -> DataFrame:
-    """``a``, ``b``, ``a_from``, ``b_from``, ``chars``: passages of at least ``min_chars`` shared by two different texts.
+MANY = 64  # texts with one run from which on stretches are hashed instead of pairs compared
 
-    ``a < b`` are keys of class representatives (the smallest key of each distinct text), so a
-    text copied any number of times takes part once.  A long passage may come in several
-    overlapping pieces, each cut ``min_chars`` characters beyond the run that found it.
-    Null, empty and short texts, and rows with a null key, share nothing; repeated rows count once.
-    """
+
+def _hits(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+    """``h``, ``n``, ``k``, ``first``, ``mid``, ``s``: the runs that several texts hold, with what surrounds them."""
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.char_length("t") >= min_chars))
     reps = materialize(texts.groupBy(F.xxhash64("t").alias("x"), F.sha2("t", 256).alias("y")).agg(F.min_by(F.struct("k", "t"), "k").alias("r")).select("r.k", "r.t"), "span-texts")
     runs = materialize(span_runs(reps, "k", "t", min_chars), "span-runs")
-    repeated = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
+    repeated = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") < F.col("hi")).select("h", "n")
     hits = runs.join(repeated, "h")
     # only the surroundings that can matter travel on: min_chars to each side of the run's start
     run_most = _sizes(min_chars)[0] + GAP
     first = F.greatest(F.col("at") - min_chars, F.lit(0))
-    ctx = hits.join(reps, "k").select("h", "k", first.alias("first"), (F.col("at") - first).alias("mid"), F.expr(f"substring(t, cast(greatest(at - {min_chars}, 0) as int) + 1, cast(at - greatest(at - {min_chars}, 0) as int) + {run_most + min_chars})").alias("s"))
-    # what agrees in all of its surroundings is measured once: classes of equal surroundings
-    ctx = materialize(ctx, "span-hits")
+    ctx = hits.join(reps, "k").select("h", "n", "k", first.alias("first"), (F.col("at") - first).alias("mid"), F.expr(f"substring(t, cast(greatest(at - {min_chars}, 0) as int) + 1, cast(at - greatest(at - {min_chars}, 0) as int) + {run_most + min_chars})").alias("s"))
+    return materialize(ctx, "span-hits")
+
+
+def _measured(ctx: DataFrame, min_chars: int) -> DataFrame:
+    """``a``, ``b``, ``a_from``, ``b_from``, ``chars``: passages of texts that hold one run, pair by pair."""
     a, b = ctx.alias("a"), ctx.alias("b")
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.k") < F.col("b.k"))).select(
         F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.first").alias("af"), F.col("a.mid").alias("am"), F.col("a.s").alias("s"), F.col("b.first").alias("bf"), F.col("b.mid").alias("bm"), F.col("b.s").alias("u"))
-    kt = df.schema[key].dataType
+    kt = ctx.schema["k"].dataType
 
     def measure(batches):
         for batch in batches:
@@ -192,6 +197,78 @@ def shared_spans(df: DataFrame, key: str, text: str, min_chars: int = 200) -> Da
     return pairs.mapInArrow(measure, schema)
 
 
+def _stretches(ctx: DataFrame, min_chars: int) -> DataFrame:
+    """``x``, ``y``, ``k``, ``s``, ``before``: every stretch of ``min_chars`` characters around a run's start.
+
+    ``x`` and ``y`` hash it (with the run and its place in the stretch), ``s`` is where it begins;
+    ``before`` is the character in front of it, null for the first stretch of a text or of a run.
+    """
+    base2 = np.uint64(0xD6E8FEB86659FD93)
+
+    def run(batches):
+        for batch in batches:
+            keys, hs, firsts, mids = batch.column(1), batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for lo in range(0, batch.num_rows, 512):
+                own, x, y, at, ahead = [], [], [], [], []
+                for i, s in enumerate(batch.column(4).slice(lo, 512).to_pylist(), lo):
+                    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    n = len(codes) - min_chars + 1
+                    starts = np.arange(max(int(mids[i]) - min_chars + 1, 0), min(int(mids[i]) + 1, n))
+                    if not len(starts):
+                        continue
+                    mixed = _mix(codes + np.uint32(1))
+                    with np.errstate(over="ignore"):
+                        place = (starts - int(mids[i])).astype(np.int64).view(np.uint64)
+                        for out, base in ((x, _BASE), (y, base2)):
+                            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(min_chars - 1, base)]))
+                            window = np.lib.stride_tricks.sliding_window_view(mixed, min_chars)[starts]
+                            out.append(_mix((window * power).sum(axis=1, dtype=np.uint64) + _mix(place + np.uint64(hs[i]))).view(np.int64))
+                    own.append(np.full(len(starts), i))
+                    at.append(starts + firsts[i])
+                    ahead += [None if j in (0, int(mids[i]) - min_chars + 1) else int(codes[j - 1]) for j in starts.tolist()]
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y)), keys.take(pa.array(np.concatenate(own))), pa.array(np.concatenate(at)), pa.array(ahead, pa.int32())], ["x", "y", "k", "s", "before"])
+
+    kt = T.StructField("k", ctx.schema["k"].dataType)
+    schema = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), kt, T.StructField("s", T.LongType()), T.StructField("before", T.IntegerType())])
+    return ctx.select("h", "k", "first", "mid", "s").mapInArrow(run, schema)
+
+
+def shared_links(df: DataFrame, key: str, text: str, min_chars: int = 200) -> DataFrame:
+    """``a``, ``b``: different texts that share at least ``min_chars`` characters, each pair once.
+
+    ``a < b`` are keys of class representatives (the smallest key of each distinct text), so a
+    text copied any number of times takes part once.  Null, empty and short texts, and rows with a
+    null key, share nothing; repeated rows count once.
+    """
+    ctx = _hits(df, key, text, min_chars)
+    few = _measured(ctx.where(F.col("n") <= MANY), min_chars).select("a", "b")
+    long = _stretches(ctx.where(F.col("n") > MANY), min_chars)
+    # a pair comes from the first stretch it shares: there the characters in front differ, or are not known
+    worth = long.groupBy("x", "y").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), (F.count_if(F.col("before").isNull()) > 0).alias("open"), F.min("before").alias("p"), F.max("before").alias("q"))
+    worth = worth.where((F.col("lo") < F.col("hi")) & (F.col("open") | (F.col("p") != F.col("q")))).select("x", "y")
+    left = long.join(worth, ["x", "y"], "left_semi")
+    a, b = left.alias("a"), left.alias("b")
+    first = F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
+    many = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.k") < F.col("b.k")) & first).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    return few.unionByName(many).distinct()
+
+
+def shared_intervals(df: DataFrame, key: str, text: str, min_chars: int = 200) -> DataFrame:
+    """``rep``, ``s``, ``e``, ``later``: stretches of a text that another text shares; ``later``: one with a smaller key.
+
+    Per class representative as in ``shared_links``; intervals may overlap.  Only texts that hold a
+    run with few others are compared in pairs.
+    """
+    ctx = _hits(df, key, text, min_chars)
+    spans = _measured(ctx.where(F.col("n") <= MANY), min_chars)
+    few = spans.select(F.explode(F.array(*(F.struct(F.col(x).alias("rep"), F.col(f"{x}_from").alias("s"), (F.col(f"{x}_from") + F.col("chars")).alias("e"), F.lit(x == "b").alias("later")) for x in "ab"))).alias("i")).select("i.*")
+    long = _stretches(ctx.where(F.col("n") > MANY), min_chars)
+    held = long.groupBy("x", "y").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") < F.col("hi"))
+    many = long.join(held, ["x", "y"]).select(F.col("k").alias("rep"), "s", (F.col("s") + min_chars).alias("e"), (F.col("lo") < F.col("k")).alias("later"))
+    return few.unionByName(many).groupBy("rep", "s", "e").agg(F.max("later").alias("later"))
+
+
 def text_classes(df: DataFrame, key: str, text: str, min_chars: int = 0) -> DataFrame:
     """``k``, ``rep``: each key with the smallest key that has the very same text."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.char_length("t") >= min_chars))
@@ -208,21 +285,25 @@ def expand_pairs(links: DataFrame, classes: DataFrame, a: str, b: str) -> DataFr
     return between.unionByName(within).select(F.least("ka", "kb").alias(a), F.greatest("ka", "kb").alias(b))
 
 
-def covered(spans: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+def _merged(rows: DataFrame) -> DataFrame:
+    """``rep``, ``s``, ``e``: the union of each text's intervals, without overlap."""
+    w = Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = rows.withColumn("to", F.coalesce(F.max("e").over(w), F.lit(-1))).withColumn("new", (F.col("s") > F.col("to")).cast("int"))
+    part = fresh.withColumn("part", F.sum("new").over(Window.partitionBy("rep").orderBy("s", "e")))
+    return part.groupBy("rep", "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("part")
+
+
+def covered(intervals: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """Per row: ``n_chars``, ``shared_chars`` (inside a passage that another row has too) and ``first_chars``.
 
     ``first_chars`` counts the characters left if every passage that a smaller key has already is
     taken out.  A text that some other row has in full is shared in full.  Null counts as empty.
     """
-    sides = spans.select(F.col("a").alias("rep"), F.col("a_from").alias("s"), (F.col("a_from") + F.col("chars")).alias("e"), F.lit(False).alias("later")).unionByName(
-        spans.select(F.col("b").alias("rep"), F.col("b_from").alias("s"), (F.col("b_from") + F.col("chars")).alias("e"), F.lit(True).alias("later"))).distinct()
 
-    def union(rows: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-        fresh = rows.withColumn("to", F.coalesce(F.max("e").over(w), F.lit(0)))
-        return fresh.groupBy("rep").agg(F.sum(F.greatest(F.col("e") - F.greatest("s", "to"), F.lit(0))).alias(name))
+    def total(rows: DataFrame, name: str) -> DataFrame:
+        return _merged(rows).groupBy("rep").agg(F.sum(F.col("e") - F.col("s")).alias(name))
 
-    per = union(sides, "inside").join(union(sides.where("later"), "repeated"), "rep", "left")
+    per = total(intervals, "inside").join(total(intervals.where("later"), "repeated"), "rep", "left")
     copies = classes.groupBy("rep").agg(F.count("*").alias("copies"))
     info = classes.join(copies, "rep").join(per, "rep", "left").select(F.col("k").alias(key), "rep", "copies", "inside", "repeated")
     base = df.select(key, F.coalesce(F.char_length(text), F.lit(0)).cast("bigint").alias("n_chars"))
@@ -230,3 +311,39 @@ def covered(spans: DataFrame, classes: DataFrame, df: DataFrame, key: str, text:
     shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("inside", F.lit(0)))
     gone = F.when(F.col("rep") < F.col(key), F.col("n_chars")).otherwise(F.coalesce("repeated", F.lit(0)))
     return out.select(key, "n_chars", shared.cast("bigint").alias("shared_chars"), (F.col("n_chars") - gone).cast("bigint").alias("first_chars"))
+
+
+# Signs that end a sentence.
+SENTENCE_END = "。．.!?！？\n"
+
+
+def without_repeats(df: DataFrame, key: str, text: str, min_chars: int = 200, out: str = "kept") -> DataFrame:
+    """``key``, ``text`` and ``out``: the text without the sentences that a text of a smaller key has already.
+
+    A sentence goes if it lies in full inside passages of at least ``min_chars`` characters that
+    such a text shares; exact copies beyond the first lose all.  Null stays null, all other rows
+    keep their text; rows with one key share its fate.
+    """
+    intervals, classes = shared_intervals(df, key, text, min_chars), text_classes(df, key, text, min_chars)
+    later = _merged(intervals.where("later")).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gone"))
+    info = classes.join(later, "rep", "left").where((F.col("rep") < F.col("k")) | F.col("gone").isNotNull()).select(F.col("k").alias("_k"), (F.col("rep") < F.col("k")).alias("_copy"), "gone")
+    rows = df.select(key, text).join(info, F.col(key) == F.col("_k"), "left").select(key, text, "_copy", "gone")
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for t, copy, gone in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if t is None or copy is None:
+                    kept.append(t)
+                    continue
+                parts, at, lo = [], 0, 0
+                for hi in [*(i + 1 for i, c in enumerate(t) if c in SENTENCE_END), len(t)]:
+                    while gone and at < len(gone) and gone[at]["e"] < hi:
+                        at += 1
+                    inside = copy or (gone and at < len(gone) and gone[at]["s"] <= lo and hi <= gone[at]["e"])
+                    parts.append("" if inside else t[lo:hi])
+                    lo = hi
+                kept.append("".join(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], [key, text, out])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField(out, T.StringType())]))

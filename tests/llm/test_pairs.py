@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from shirabe.llm.neardup import _keys, components, gram_sets, near_groups, near_pairs
-from shirabe.llm.spans import covered, expand_pairs, shared_spans, text_classes
+from shirabe.llm import spans
+from shirabe.llm.spans import covered, expand_pairs, shared_intervals, shared_links, text_classes, without_repeats
 
 
 def grams(texts):
@@ -84,7 +85,7 @@ def test_repeated_keys_and_null_keys(spark):
     assert pairs_of(df, None) == [(1, 2)]
     long = "長い文章が二つの記録にそのまま入っている場合を確かめる。" * 10
     docs = spark.createDataFrame([(1, long + "甲"), (1, long + "甲"), (2, "乙" + long), (None, long), (3, None)], "doc_id bigint, text string")
-    links = shared_spans(docs, "doc_id", "text", 200).select("a", "b").distinct()
+    links = shared_links(docs, "doc_id", "text", 200)
     assert [tuple(r) for r in expand_pairs(links, text_classes(docs, "doc_id", "text", 200), "x", "y").collect()] == [(1, 2)]
 
 
@@ -98,7 +99,8 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "key bigint, v array<string>")
     assert near_groups(df, "key", "v").count() == 0
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert shared_spans(docs, "doc_id", "text").count() == 0
+    assert shared_links(docs, "doc_id", "text").count() == 0 and shared_intervals(docs, "doc_id", "text").count() == 0
+    assert without_repeats(docs, "doc_id", "text").count() == 0
 
 
 def runs_brute(rows, n):
@@ -109,8 +111,10 @@ def runs_brute(rows, n):
     return {(a, b) for s in by.values() for a in s for b in s if a < b}
 
 
+@pytest.mark.parametrize("many", [0, 64])
 @pytest.mark.parametrize("seed", range(4))
-def test_shared_runs_against_brute_force(spark, seed):
+def test_shared_runs_against_brute_force(spark, seed, many, monkeypatch):
+    monkeypatch.setattr(spans, "MANY", many)
     rng = random.Random(seed)
     alphabet = ["ab. ", "漢字、かな。", "abcdefgh", "x"][seed]
     text = lambda n: "".join(rng.choice(alphabet) + rng.choice("qwertyui") for _ in range(n))
@@ -123,18 +127,20 @@ def test_shared_runs_against_brute_force(spark, seed):
         rows.append((i, text(rng.randint(0, 80)) + cut + text(rng.randint(0, 80))))
     rows += [(100, rows[0][1]), (101, None), (102, ""), (103, "short"), (104, "a" * 500), (105, "b" + "a" * 450), (106, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    links = shared_spans(df, "doc_id", "text", 200).select("a", "b").distinct()
+    links = shared_links(df, "doc_id", "text", 200)
     got = [tuple(r) for r in expand_pairs(links, text_classes(df, "doc_id", "text", 200), "x", "y").collect()]
     assert len(got) == len(set(got)) and set(got) == runs_brute(rows, 200)
 
 
-def test_coverage_against_brute_force(spark):
+@pytest.mark.parametrize("many", [0, 64])
+def test_coverage_against_brute_force(spark, many, monkeypatch):
+    monkeypatch.setattr(spans, "MANY", many)
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abc。 いろは") for _ in range(n))
     shared = text(320)
     rows = [(1, text(100) + shared + text(50)), (2, shared[:260]), (3, text(300)), (4, None), (5, text(30) + shared[40:] + text(10)), (6, "z" * 250), (7, "z" * 250)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r for r in covered(shared_spans(df, "doc_id", "text", 200), text_classes(df, "doc_id", "text", 200), df, "doc_id", "text", 200).collect()}
+    got = {r.doc_id: r for r in covered(shared_intervals(df, "doc_id", "text", 200), text_classes(df, "doc_id", "text", 200), df, "doc_id", "text").collect()}
     where = defaultdict(set)
     for k, t in rows:
         for i in range(len(t or "") - 199):
@@ -149,3 +155,30 @@ def test_coverage_against_brute_force(spark):
                 later.update(range(i, i + 200))
         assert got[k].shared_chars == len(inside)
         assert got[k].first_chars == len(t or "") - len(later)
+
+
+def test_a_common_footer_makes_no_pairs(spark):
+    """A run of 150 characters in every text: no text is paired, and rows grow with the texts, not with their square."""
+    rng = random.Random(2)
+    footer = "この文書は院内の共有文書であり外部への持ち出しを禁ずる。" * 6
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(80)) + footer[:150] + "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(80))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert shared_links(df, "doc_id", "text", 200).count() == 0
+    assert spans._stretches(spans._hits(df, "doc_id", "text", 200), 200).count() <= 300 * 200 * 20
+
+
+def test_texts_alike_far_beyond_a_run_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(spans, "MANY", 0)
+    rng = random.Random(8)
+    same = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(900))
+    rows = [(i, same + chr(0x3042 + i)) for i in range(6)]
+    assert shared_links(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 200).count() == 15
+
+
+def test_repeated_sentences_go(spark):
+    rng = random.Random(6)
+    sentence = lambda: "".join(rng.choice("あいうえおかきくけこ漢字") for _ in range(60)) + "。"
+    shared, own = [sentence() for _ in range(5)], [sentence() for _ in range(4)]
+    rows = [(1, own[0] + "".join(shared)), (2, own[1] + "".join(shared) + own[2]), (3, own[3]), (4, None), (5, own[1] + "".join(shared) + own[2]), (6, "")]
+    got = {r.doc_id: r.kept for r in without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 200).collect()}
+    assert got == {1: rows[0][1], 2: own[1] + own[2], 3: own[3], 4: None, 5: "", 6: ""}
