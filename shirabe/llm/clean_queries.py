@@ -17,13 +17,13 @@ def _cut_input(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose text lost its end."""
-    return find_cut(_cut_input(spark, sf), ["fld", "seq"], "t").select("fld", "seq")
+    return find_cut(_cut_input(spark, sf), ["fld", "seq"], "t", "source").select("fld", "seq")
 
 
 def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Per field and source: rows with a text, cut rows, and their share in millionths."""
     rows = _cut_input(spark, sf).where(F.col("t").rlike(r"(?U)\S"))
-    cut = find_cut(rows, ["fld", "seq", "source"], "t").groupBy("fld", "source").agg(F.count("*").alias("n_cut"))
+    cut = find_cut(rows, ["fld", "seq", "source"], "t", "source").groupBy("fld", "source").agg(F.count("*").alias("n_cut"))
     total = rows.groupBy("fld", "source").agg(F.count("*").alias("n_rows"))
     n = F.coalesce("n_cut", F.lit(0))
     joined = total.join(cut, (total.fld == cut.fld) & total.source.eqNullSafe(cut.source), "left").select(total.fld, total.source, "n_rows", n.alias("n_cut"))

@@ -66,6 +66,26 @@ def test_cut_texts(spark):
     assert find_cut(df.where("false"), ["fld", "seq"], "t").count() == 0
 
 
+def test_markup_and_quotes_on_the_stack():
+    for t in ["<b>太字の説明", "<div class='a'>長い<span>説明</span>", 'he said "yes', "表<table><tr><td>値", "<b>a</b> <i>c", "途中 <span class=\"no", "a </"]:
+        assert unclosed(t) or broken_end(t), t
+    for t in ["<b>太字</b>の説明", '幅5"の腫瘤。', 'he said "5" and left', "a<br>b", "<p>段落の文", "a < b かつ c > d", "血圧<120で安定", '"幅5""と長さ"', "<b><i>x</i></b>"]:
+        assert not unclosed(t) and not broken_end(t), t
+
+
+def test_missing_terminators_by_source(spark):
+    body = ["頭が痛い", "足が痺れる", "息が切れる", "腹が重い"]
+    strict = [("f", i, f"{i}日目は{body[i % 4]}。", "strict") for i in range(200)]
+    loose = [("f", 1000 + i, f"{i}回目に{body[i % 4]}" + ("。" if i % 4 else ""), "loose") for i in range(200)]
+    # 胸が ends some sentences but not most of them
+    some = [("f", 3000 + i, f"{i}番の人の胸が" + ("。" if i % 4 == 0 else "痛む。"), "loose") for i in range(80)]
+    odd = [("f", 2000, "七日目は胸が", "strict"), ("f", 2001, "八日目は胸が", "loose"), ("f", 2002, "九日目は頭が痛い", "strict")]
+    df = spark.createDataFrame(strict + loose + some + odd, "fld string, seq int, t string, source string")
+    got = {r.seq: r.rule for r in find_cut(df, ["fld", "seq"], "t", "source").collect()}
+    assert got == {2000: "terminator"}
+    assert find_cut(df, ["fld", "seq"], "t").count() == 0
+
+
 def test_copies_of_a_cut_text_stay_cut(spark):
     full = [("f", i, f"{i}日目の朝から頭が痛くて起きられません。") for i in range(30)]
     cut = [("f", 100 + i, "今日は朝から頭が痛") for i in range(60)]
