@@ -5,15 +5,21 @@ from a structured column (family names, and the given names that follow them) ar
 characters around their mentions give contextual patterns; patterns and the fillers they match
 form a graph whose scores are iterated in Spark (a filler is as sure as its patterns, a pattern
 as sure as its fillers); the patterns that end above a threshold then find names that no seed
-held, of any script.
+held, of any script.  The seeds only teach: finding uses the patterns, and the names of the row itself.
+
+Seeds and patterns are matched by automata, so a text costs its length and its hits, not the number
+of seeds or patterns.  A pattern must hold a share of all seed mentions, which bounds the number of
+patterns at every size of the corpus.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +61,9 @@ LETTERS = re.compile(rf"^(?:[{_KANJI}ぁ-んァ-ヺー]+(?:[ 　・]?[{_KANJI}
 SLOT = rf"(?:[{_KANJI}]{{1,6}}(?:[ノの][{_KANJI}]{{1,3}})?(?:[ 　][{_KANJI}]{{1,4}}(?:[ノの][{_KANJI}]{{1,2}})?)?|[ァ-ヺー]{{2,10}}(?:[ 　・][ァ-ヺー]{{2,10}})?|[A-Z][A-Za-z'\-]+[ 　][A-Z][A-Za-z'\-]+)"
 LEFT, RIGHT = 4, 2
 SEEDS = 20_000
+# What follows a name of one character, and characters that stand there for relatives and roles.
+TITLES = ("さん", "さま", "様", "氏", "先生", "医師", "殿", "看護師", "くん", "君", "ちゃん")
+NO_NAME_ALONE = set("父母兄姉弟妹夫妻娘息子孫祖叔伯甥姪嫁婿客主君医師士人者方皆様彼私我男女児院前後他")
 _STOP = "。.\n「」『』)）"
 
 
@@ -107,28 +116,50 @@ def field_name(value: str) -> tuple[str, int, int] | None:
         core = core[: m.start()]
     lead = len(core) - len(core.lstrip(" 　"))
     core = core.strip(" 　")
-    if len(core) < 2 or any(c.isdigit() for c in core) or NO_NAME.match(core) or not LETTERS.match(core):
+    if not core or (len(core) == 1 and (core in NO_NAME_ALONE or not re.match(f"[{_KANJI}]", core))) or any(c.isdigit() for c in core) or NO_NAME.match(core) or not LETTERS.match(core):
         return None
     return core, lo + lead, lo + lead + len(core)
 
 
-def _name_regex(words: list[str]) -> str:
-    return "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))
-
-
 class Lexicon:
-    """Known family and given names; finds them in a text."""
+    """Known family and given names; finds them in a text by an automaton."""
+
+    def __init__(self, families: tuple[str, ...], givens: tuple[str, ...]):
+        import ahocorasick
 
-    def __init__(self, families: list[str], givens: list[str]):
         self.families, self.givens = set(families), set(givens)
-        fam, giv = _name_regex(families), _name_regex(givens)
-        self.full = re.compile(rf"(?:{fam})[ 　・]?(?:{giv})|(?:{fam})") if families and givens else (re.compile(fam) if families else None)
-        self.pair = re.compile(rf"(?:{fam})[ 　・]?(?:{giv})") if families and givens else None
+        self.lengths = sorted({len(g) for g in givens}, reverse=True)
+        self.auto = ahocorasick.Automaton()
+        for f in families:
+            self.auto.add_word(f, len(f))
+        if families:
+            self.auto.make_automaton()
+
+    def _end(self, text: str, at: int) -> int:
+        """Where the name whose family part ends at ``at`` ends: after the longest given name that follows, if one does."""
+        for gap in (0, 1):
+            if gap and text[at : at + 1] not in (" ", "　", "・"):
+                break
+            for n in self.lengths:
+                if text[at + gap : at + gap + n] in self.givens and len(text) >= at + gap + n:
+                    return at + gap + n
+        return at
+
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """Mentions from left to right without overlap, the longest of each place."""
+        if not self.families:
+            return []
+        hits = sorted(((e + 1 - n, self._end(text, e + 1)) for e, n in self.auto.iter(text)), key=lambda h: (h[0], -h[1]))
+        out: list[tuple[int, int]] = []
+        for lo, hi in hits:
+            if not out or lo >= out[-1][1]:
+                out.append((lo, hi))
+        return out
 
     def known(self, filler: str) -> bool:
-        if not self.full:
-            return False
-        return bool(self.full.fullmatch(filler))
+        if filler in self.families:
+            return True
+        return any(filler[:i] in self.families and (filler[i:] in self.givens or (filler[i] in " 　・" and filler[i + 1 :] in self.givens)) for i in range(1, len(filler)))
 
 
 def _sides(text: str, lo: int, hi: int) -> list[tuple[str, str]]:
@@ -143,47 +174,68 @@ def _sides(text: str, lo: int, hi: int) -> list[tuple[str, str]]:
     return [(x, right or "$") for x in sorted(sides) if x]
 
 
-def _rule(left: str, right: str) -> str:
-    before = rf"(?:^|(?<=[{re.escape(_STOP)}])|(?<=[{re.escape(_STOP)}][ 　\n])){re.escape(left[1:])}" if left.startswith("^") else re.escape(left)
-    after = "$" if right == "$" else re.escape(right)
-    return rf"{before}(?P<x>{SLOT})(?={after})"
+@lru_cache(maxsize=4)
+def _lexicon(families: tuple[str, ...], givens: tuple[str, ...]) -> Lexicon:
+    return Lexicon(families, givens)
 
 
-@lru_cache(maxsize=4)
-def _compiled(rules: tuple[tuple[str, str], ...]) -> list[tuple[int, re.Pattern]]:
-    return [(i, re.compile(_rule(a, b))) for i, (a, b) in enumerate(rules)]
+@lru_cache(maxsize=1 << 16)
+def _filler(right: str) -> re.Pattern:
+    return re.compile(rf"{SLOT}(?={'$' if right == '$' else re.escape(right)})")
 
 
-@lru_cache(maxsize=4)
-def _lexicon(families: tuple[str, ...], givens: tuple[str, ...]) -> Lexicon:
-    return Lexicon(list(families), list(givens))
+_SLOT_AT = re.compile(SLOT)
 
 
-def _anchors(rules: tuple[tuple[str, str], ...]) -> list[str]:
-    return [a[1:] if a.startswith("^") else a for a, _ in rules]
+class Patterns:
+    """Rules (left side, right side); finds their fillers by an automaton over the left sides."""
 
+    def __init__(self, rules: tuple[tuple[str, str], ...]):
+        import ahocorasick
 
-def _matches(text: str, rules: tuple[tuple[str, str], ...]):
-    """Rule number and span of every filler that a rule finds; rules whose literal is absent are skipped."""
-    anchors = _anchors(rules)
-    for i, pattern in _compiled(rules):
-        if anchors[i] and anchors[i] not in text:
-            continue
-        if rules[i][1] != "$" and rules[i][1] not in text:
-            continue
-        for m in pattern.finditer(text):
-            lo, hi = m.span("x")
-            if hi - lo >= 2:
-                yield i, lo, hi
+        by: dict[str, list[tuple[int, bool, str]]] = defaultdict(list)
+        for i, (left, right) in enumerate(rules):
+            by[left[1:] if left.startswith("^") else left].append((i, left.startswith("^"), right))
+        self.at_start = by.pop("", [])  # rules of a sentence start alone
+        self.auto = ahocorasick.Automaton()
+        for anchor, own in by.items():
+            self.auto.add_word(anchor, (len(anchor), own))
+        if by:
+            self.auto.make_automaton()
+        self.some = bool(by)
 
+    def find(self, text: str):
+        """Rule number and span of every filler; one character alone counts only before a title."""
+        places = [(e + 1, n, own) for e, (n, own) in self.auto.iter(text)] if self.some else []
+        if self.at_start:
+            places += [(p, 0, self.at_start) for p in {0, *(m.end() for m in re.finditer(rf"[{re.escape(_STOP)}][ 　\n]?", text))}]
+        for p, n, own in places:
+            if not _SLOT_AT.match(text, p):
+                continue
+            first = p == n or text[p - n - 1] in _STOP or (text[p - n - 1] in " 　\n" and p - n > 1 and text[p - n - 2] in _STOP)
+            for i, start, right in own:
+                if start and not first:
+                    continue
+                m = _filler(right).match(text, p)
+                if m and (m.end() - p > 1 or (text.startswith(TITLES, m.end()) and m.group() not in NO_NAME_ALONE)):
+                    yield i, p, m.end()
 
-def learn_names(df: DataFrame, name: str, family: str, text: str, least: int = 4, sure: float = 0.5, rounds: int = 3, seeds: int = SEEDS) -> tuple[tuple[str, ...], tuple[str, ...], tuple[tuple[str, str], ...]]:
-    """Family names, given names and the accepted (left, right) patterns.
+
+@lru_cache(maxsize=4)
+def _patterns(rules: tuple[tuple[str, str], ...]) -> Patterns:
+    return Patterns(rules)
+
+
+def learn_names(df: DataFrame, name: str, family: str, text: str, least: int = 4, share: float = 2e-5, sure: float = 0.5, rounds: int = 3, seeds: int = SEEDS) -> Broadcast:
+    """The accepted (left, right) patterns, sent to the executors.
 
     At most ``seeds`` of the most frequent family and given names start the search: a bound on the
     labelled examples, not on the texts, all of which are read for patterns and for fillers.
-    ``least`` distinct names must stand in a context before it becomes a pattern.
+    ``least`` distinct names must stand in a context before it becomes a pattern, and ``share`` of
+    the (context, name) pairs of all contexts: there are at most ``1 / share`` patterns, however
+    large the corpus.
     """
+    sc = df.sparkSession.sparkContext
     fam = df.where(F.length(family) >= 1).groupBy(F.col(family).alias("w")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(seeds)
     families = tuple(r["w"] for r in fam.collect())
 
@@ -199,32 +251,33 @@ def learn_names(df: DataFrame, name: str, family: str, text: str, least: int = 4
     giv = df.where(F.length(name) > 0).select(name, family).mapInArrow(cores, "w string").where(F.length("w") > 0).groupBy("w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(seeds)
     givens = tuple(r["w"] for r in giv.collect())
     if not families:
-        return families, givens, ()
+        return sc.broadcast(())
+    known = sc.broadcast((families, givens))
     texts = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
 
     def contexts(batches):
-        lex = _lexicon(families, givens)
+        lex = _lexicon(*known.value)
         for batch in batches:
-            a, b, x = [], [], []
+            found = set()
             for t in batch.column(0).to_pylist():
-                for m in lex.full.finditer(t):
-                    for left, right in _sides(t, *m.span()):
-                        a.append(left), b.append(right), x.append(m.group())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in (a, b, x)], ["l", "r", "x"])
-
-    seen = texts.mapInArrow(contexts, "l string, r string, x string").groupBy("l", "r").agg(F.countDistinct("x").alias("e"))
-    rules = tuple((r["l"], r["r"]) for r in seen.where(F.col("e") >= least).orderBy("l", "r").collect())
+                for lo, hi in lex.find(t):
+                    found.update((left, right, t[lo:hi]) for left, right in _sides(t, lo, hi))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], ["l", "r", "x"])
+
+    pairs = materialize(texts.mapInArrow(contexts, "l string, r string, x string").distinct(), "name-contexts")
+    needed = max(least, share * pairs.count())
+    seen = pairs.groupBy("l", "r").agg(F.count("*").alias("e"))
+    rules = tuple((r["l"], r["r"]) for r in seen.where(F.col("e") >= needed).orderBy("l", "r").collect())
     if not rules:
-        return families, givens, ()
+        return sc.broadcast(())
+    tried = sc.broadcast(rules)
 
     def fillers(batches):
-        lex = _lexicon(families, givens)
+        lex, patterns = _lexicon(*known.value), _patterns(tried.value)
         for batch in batches:
-            n, x, k = [], [], []
-            for t in batch.column(0).to_pylist():
-                for i, lo, hi in _matches(t, rules):
-                    n.append(i), x.append(t[lo:hi]), k.append(lex.known(t[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(x, pa.string()), pa.array(k, pa.bool_())], ["rule", "x", "known"])
+            found = {(i, t[lo:hi]) for t in batch.column(0).to_pylist() for i, lo, hi in patterns.find(t)}
+            n, x = [f[0] for f in found], [f[1] for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(x, pa.string()), pa.array([lex.known(v) for v in x], pa.bool_())], ["rule", "x", "known"])
 
     graph = materialize(texts.mapInArrow(fillers, "rule int, x string, known boolean").groupBy("rule", "x").agg(F.max("known").alias("known")), "name-graph")
     score = graph.groupBy("rule").agg(F.avg(F.col("known").cast("double")).alias("p"))
@@ -233,13 +286,21 @@ def learn_names(df: DataFrame, name: str, family: str, text: str, least: int = 4
         filler = mixed.groupBy("x").agg(F.max("known").alias("known"), (1 - F.product(1 - F.least(F.col("p"), F.lit(0.99)) * 0.9)).alias("s")).select("x", F.when(F.col("known"), F.lit(1.0)).otherwise(F.col("s")).alias("s"))
         score = graph.join(filler, "x").groupBy("rule").agg(F.avg("s").alias("p"))
     good = sorted(r["rule"] for r in score.where(F.col("p") >= sure).collect())
-    return families, givens, tuple(rules[i] for i in good)
+    return sc.broadcast(tuple(rules[i] for i in good))
+
+
+def _own_names(text: str, value: str | None) -> list[tuple[int, int]]:
+    """Mentions of the name that the row's own name field holds, its parts joined in any way."""
+    got = field_name(value) if value and not value.isspace() else None
+    if not got or len(got[0]) < 3:
+        return []
+    parts = [re.escape(x) for x in re.split("[ 　・]+", got[0])]
+    return [m.span() for m in re.finditer("[ 　・]?".join(parts), text)] if got[0][:2] in text else []
 
 
-def _text_names(text: str, lex: Lexicon, rules: tuple[tuple[str, str], ...], used: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    spans = [(hi - lo, lo, hi) for _, lo, hi in _matches(text, rules)]
-    if lex.pair:
-        spans += [(m.end() - m.start(), *m.span()) for m in lex.pair.finditer(text)]
+def _text_names(text: str, rules: tuple[tuple[str, str], ...], used: list[tuple[int, int]], name: str | None = None) -> list[tuple[str, int, int]]:
+    spans = [(hi - lo, lo, hi) for _, lo, hi in _patterns(rules).find(text)] if rules else []
+    spans += [(hi - lo, lo, hi) for lo, hi in _own_names(text, name)]
     out: list[tuple[str, int, int]] = []
     for _, lo, hi in sorted(spans, key=lambda s: (-s[0], s[1])):
         if _free(used, lo, hi):
@@ -248,18 +309,20 @@ def _text_names(text: str, lex: Lexicon, rules: tuple[tuple[str, str], ...], use
     return out
 
 
-def find_items(df: DataFrame, keys: list[str], fields: dict[str, str], learned, placeholder: bool = False) -> DataFrame:
+def find_items(df: DataFrame, keys: list[str], fields: dict[str, str], learned: Broadcast, placeholder: bool = False) -> DataFrame:
     """Items of every field: ``keys``, ``fld``, ``pii_kind``, ``pii_text``, or with ``placeholder`` the text.
 
     ``fields`` says how each column is read: "name" (a field for names) or "text".  With
     ``placeholder`` one row per row and field comes out, ``fld`` and ``masked``: each item replaced
     by its kind in brackets, all else untouched, null for null.  Blank values hold nothing.
+    A name that a name field of the row holds counts in its texts too.
     """
-    families, givens, rules = learned
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("fld", "v"))
+    named = F.coalesce(*[F.when(F.trim(f) != "", F.col(f)) for f, how in fields.items() if how == "name"], F.lit(None).cast("string"))
+    rows = df.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], named.alias("own"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("fld", "v"))
+    rows = rows.select(*names, "fld", "v", F.when(F.col("fld").isin([f for f, how in fields.items() if how != "name"]), F.col("own")).alias("own"))
 
-    def items(value: str, how: str) -> list[tuple[str, int, int]]:
+    def items(value: str, how: str, own: str | None) -> list[tuple[str, int, int]]:
         found = plain_items(value)
         used = [(lo, hi) for _, lo, hi in found]
         if how == "name":
@@ -267,14 +330,14 @@ def find_items(df: DataFrame, keys: list[str], fields: dict[str, str], learned,
             if got and _free(used, got[1], got[2]):
                 found.append(("NAME", got[1], got[2]))
             return found
-        return found + _text_names(value, _lexicon(families, givens), rules, used)
+        return found + _text_names(value, learned.value, used, own)
 
     def run(batches):
         for batch in batches:
-            fld, val = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
+            fld, val, own = (batch.column(len(names) + i).to_pylist() for i in range(3))
             at, kinds, texts, masked = [], [], [], []
-            for i, (f, v) in enumerate(zip(fld, val)):
-                got = items(v, fields[f]) if v and not v.isspace() else []
+            for i, (f, v, o) in enumerate(zip(fld, val, own)):
+                got = items(v, fields[f], o) if v and not v.isspace() else []
                 if placeholder:
                     for kind, lo, hi in sorted(got, key=lambda g: -g[1]):
                         v = v[:lo] + f"[{kind}]" + v[hi:]
@@ -283,10 +346,10 @@ def find_items(df: DataFrame, keys: list[str], fields: dict[str, str], learned,
                     for kind, lo, hi in got:
                         at.append(i), kinds.append(kind), texts.append(v[lo:hi])
             if placeholder:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(masked, pa.string())], [*names, "fld", "masked"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(masked, pa.string())], [*names, "fld", "masked"])
             else:
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], [*names, "fld", "pii_kind", "pii_text"])
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-2]), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], [*names, "fld", "pii_kind", "pii_text"])
 
     own = [T.StructField(n, rows.schema[n].dataType) for n in [*names, "fld"]]
     tail = ["masked"] if placeholder else ["pii_kind", "pii_text"]

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shirabe.llm.mapping import UNMATCHED, Matcher, edits_all, key_form, map_values
-from shirabe.llm.pii import field_name, find_items, learn_names, plain_items
+from shirabe.llm import pii
+from shirabe.llm.pii import Patterns, field_name, find_items, learn_names, plain_items
 from shirabe.llm.residue import find_residue, residue_kind, without_residue
 from shirabe.llm.truncation import broken_end, find_cut, unclosed
 from shirabe.llm.unify import base_form, dominant, unify
@@ -206,3 +207,33 @@ def test_names_in_text_by_context(spark):
     assert masked[(50, "h")] == "担当は[NAME]医師。" and masked[(51, "h")] is None and masked[(52, "n")] == "  "
     empty = df.where("false")
     assert find_items(empty.drop("fld"), ["case_no"], {"h": "text"}, learn_names(empty, "n", "f", "h")).count() == 0
+
+
+def test_names_of_one_character_and_beyond_the_seeds(spark):
+    fam = ["青葉", "白川", "黒田", "赤星", "緑川", "金沢", "銀座"]
+    rows = [(i, f"{f}太郎", f, f"担当は{f}医師。") for i, f in enumerate(fam)] * 2
+    rows += [(40, None, None, "担当は森医師。"), (41, "林", "林", None), (42, "妻", None, "担当は妻医師。"), (43, "氏名 紺野 花子様", "紺野", "外で紺野花子に会う。紺野・花子とも。")]
+    df = spark.createDataFrame(rows, "k int, n string, f string, h string")
+    got = {(r.k, r.fld, r.pii_text) for r in find_items(df, ["k"], {"h": "text", "n": "name"}, learn_names(df, "n", "f", "h", seeds=5)).collect() if r.pii_kind == "NAME"}
+    want = {(i, "h", f) for i, f in enumerate(fam)} | {(i, "n", f"{f}太郎") for i, f in enumerate(fam)}
+    assert got == want | {(40, "h", "森"), (41, "n", "林"), (43, "n", "紺野 花子"), (43, "h", "紺野花子"), (43, "h", "紺野・花子")}
+
+
+def test_patterns_equal_the_rules_one_by_one():
+    rng = random.Random(3)
+    rules = (("担当は", "医師"), ("^患者は", "さん"), ("の", "氏"), ("^", "様("), ("宛 ", "$"))
+    pieces = ["担当は", "医師", "患者は", "さん", "山田", "ヤマダ", "の", "氏", "。", " ", "様(", "宛 ", "Taro Yamada", "森", "妻"]
+    for _ in range(500):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        got = {(i, lo, hi) for i, lo, hi in Patterns(rules).find(t) if hi - lo > 1}
+        want = set()
+        for i, (left, right) in enumerate(rules):
+            anchor = left.lstrip("^")
+            for p in range(len(anchor), len(t) + 1):
+                start = p - len(anchor)
+                first = start == 0 or t[start - 1] in pii._STOP or (start > 1 and t[start - 1] in " 　\n" and t[start - 2] in pii._STOP)
+                if t[start:p] == anchor and (first or not left.startswith("^")):
+                    m = pii._filler(right).match(t, p)
+                    if m and m.end() - p > 1:
+                        want.add((i, p, m.end()))
+        assert got == want, t
