@@ -50,3 +50,33 @@ def test_repeated_rows_and_long_texts(spark):
     long = ";".join(f"HP:{i}" for i in range(5000))
     df = spark.createDataFrame([(1, long, None, None), (1, "HP:1;HP:2", None, None), (1, "HP:1;HP:2", None, None)], SCHEMA)
     assert split_packed(df, "id", "f").count() == 5004
+
+
+@pytest.mark.parametrize(("fields", "seps"), [
+    (["2024-01-05;2024-02-06", "2024-03-01", "2023-11-30;2024-01-01;2024-01-02"], [";"]),
+    (["1.5,2.5", "3.25", "0.5,1.0,12.75"], [","]),
+    (["12:30;8:15", "7:05", "9:00;10:45;23:59"], [";"]),
+    (["2024-01-05 12:30;2024-02-06 08:15", "2024-03-01 10:00"], [";"]),
+    (["a_1|b_22", "c_3", "d_4|e_5|f_6"], ["|"]),
+    (["1,2,3", "4,5,6", "7,8,9"], [","]),
+    (["1.5", "22.75"], []), (["12,7", "3;4;5", "6"], [",", ";"]), (["abc", "d"], []),
+])
+def test_signs_inside_values_are_no_separators(spark, fields, seps):
+    df = spark.createDataFrame([(i, f, None, None) for i, f in enumerate(fields * 3)], SCHEMA)
+    assert infer_separators(df, "f") == {(): seps}
+
+
+def test_sources_differ_and_share_a_table(spark):
+    data = [(i, f"2024-01-0{i % 9 + 1}" + "|2023-12-24" * (i % 3), None, "dates") for i in range(30)] + [(100 + i, "1.5" + ",22.75" * (i % 4), None, "numbers") for i in range(30)] + [(200, "x|y", None, None), (201, "z", None, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert infer_separators(df, "f", ["src"]) == {("dates",): ["|"], ("numbers",): [","], (None,): ["|"]}
+    by = {}
+    for k, p, v in rows(split_packed(df, "id", "f", ["src"])):
+        by.setdefault(k, []).append(v)
+    assert by[2] == ["2024-01-03", "2023-12-24", "2023-12-24"] and by[103] == ["1.5", "22.75", "22.75", "22.75"] and by[200] == ["x", "y"]
+
+
+def test_more_than_32_signs_inside_values(spark):
+    signs = [chr(c) for c in range(0x2460, 0x2460 + 40)]
+    df = spark.createDataFrame([(i, ";".join(f"a{signs[(i + j) % 40]}7" for j in range(i % 4 + 1)), None, None) for i in range(160)], SCHEMA)
+    assert infer_separators(df, "f") == {(): [";"]}
