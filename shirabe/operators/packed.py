@@ -94,7 +94,11 @@ def separator_table(df: DataFrame, field: str, source_cols: list[str] | None = N
         some = F.col("piece") != ""
         often = F.length("piece") - F.length(F.replace("piece", F.coalesce(F.get("c", F.lit(0)), F.lit("")), F.lit("")))
         full = F.sum(F.when(some, F.col("n")).otherwise(0.0))
-        regular = F.sum(F.when(some, F.col("n") * F.col("n")).otherwise(0.0)) / (full * full) * (0.5 + 0.5 * full / F.sum("n"))
+        # a quoted piece is a value of whatever type: it counts as one of the most frequent type
+        quoted, typed = F.coalesce(F.sum(F.when(F.col("piece") == "Q", F.col("n"))), F.lit(0.0)), some & (F.col("piece") != "Q")
+        most = F.coalesce(F.max(F.when(typed, F.col("n"))), F.lit(0.0))
+        square = F.sum(F.when(typed, F.col("n") * F.col("n")).otherwise(0.0)) + 2 * most * quoted + quoted * quoted
+        regular = square / (full * full) * (0.5 + 0.5 * full / F.sum("n"))
         score = counts.groupBy(*source, "c").agg(F.coalesce(F.when(full > 0, regular), F.lit(0.0)).alias("regular"), (F.min(F.when(often > 0, often)) == F.max(often)).alias("steady"))
         scores = score.groupBy(*source).agg(F.max(F.when(F.size("c") == 0, F.col("regular"))).alias("now"), F.collect_list(F.when(F.size("c") > 0, F.struct("regular", F.coalesce("steady", F.lit(False)).alias("steady"), inside(F.col("c")).alias("value"), "c"))).alias("all"))
         best = F.array_max("all")

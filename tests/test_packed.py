@@ -60,6 +60,7 @@ def test_repeated_rows_and_long_texts(spark):
     (["a_1|b_22", "c_3", "d_4|e_5|f_6"], ["|"]),
     (["1,2,3", "4,5,6", "7,8,9"], [","]),
     (["1.5", "22.75"], []), (["12,7", "3;4;5", "6"], [",", ";"]), (["abc", "d"], []),
+    (['"x y","z"', '"u","v (w)","t"', '"s"'], [","]), (['"x","y","z"', '"x","y"'] + ["HP:1;HP:2", "HP:3", "HP:4;HP:5;HP:6"] * 5, [",", ";"]),
 ])
 def test_signs_inside_values_are_no_separators(spark, fields, seps):
     df = spark.createDataFrame([(i, f, None, None) for i, f in enumerate(fields * 3)], SCHEMA)
