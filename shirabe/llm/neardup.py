@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shirabe.session import materialize
+from shirabe.session import discard, materialize
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting step
@@ -241,17 +241,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``k``, ``group``: connected components of ``links`` (a, b); the group is its smallest key.
 
     Every round each key takes the smallest group among its own, its neighbours' and its group's
-    group (pointer jumping); the labels are written to the shared folder each round.
+    group (pointer jumping); the labels are written to the shared folder each round, and the round before is dropped.
     """
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("group")), "labels")
+    last = labels
     for _ in range(max_rounds):
         best = edges.join(labels.select(F.col("k").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("m"))
         near = labels.join(best, labels.k == best.a).select("k", F.col("group").alias("old"), F.least("group", "m").alias("group"))
         jump = labels.select(F.col("k").alias("group"), F.col("group").alias("next"))
         new = materialize(near.join(jump, "group").select("k", "old", F.least("group", "next").alias("group")), "labels")
         moved = new.where(F.col("old") != F.col("group")).limit(1).count()
-        labels = new.select("k", "group")
+        discard(last)
+        last, labels = new, new.select("k", "group")
         if not moved:
             return labels
     raise RuntimeError("the components did not settle")
