@@ -184,6 +184,31 @@ def clear_noise(col: Column, words: list[str] | None = None) -> Column:
     return F.when(~F.coalesce(has_any(col, words or SITE_NOISE), F.lit(False)), col)
 
 
+def at_least(col: Column, least: float, *also: Column) -> Column:
+    """A number, written as text or not, of at least ``least``, and every further condition; false where it is no number."""
+    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), also, F.coalesce(strip(col.cast("string")).try_cast("double") >= least, F.lit(False)))
+
+
+def listed(col: Column, wanted: list[str]) -> Column:
+    """Is the trimmed value one of the list?  An empty list accepts everything."""
+    return F.coalesce(strip(col).isin(wanted), F.lit(False)) if wanted else F.lit(True)
+
+
+def begins_with_any(col: Column, prefixes: list[str]) -> Column:
+    """Does the value begin with one of the prefixes?  Null does not."""
+    return F.coalesce(reduce(lambda a, b: a | b, [col.startswith(p) for p in prefixes], F.lit(False)), F.lit(False))
+
+
+def plain_form(col: Column) -> Column:
+    """NFKC and trimmed; null gives ''."""
+    return strip(nfkc(safe_str(col)))
+
+
+def share(part: Column, whole: Column, digits: int = 4) -> Column:
+    """part / whole, rounded; 0 for nothing."""
+    return F.when(whole != 0, F.round(part / whole, digits)).otherwise(0.0)
+
+
 def everyday(expr: Column, name: Column, longest: int = 20) -> Column:
     """Is the expression everyday language for the name?  The rules in their order, as one condition."""
     e, n = safe_str(expr), safe_str(name)

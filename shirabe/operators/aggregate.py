@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from shirabe.session import materialize
+
 
 def ordered_distinct(df: DataFrame, key: str, value: str, seq: str = "seq", out: str = "values") -> DataFrame:
     """Per key the distinct values in order of first arrival; null values are left out."""
@@ -44,14 +46,24 @@ def reduction_rate(df: DataFrame, before: Column, after: Column) -> DataFrame:
     return df.agg(F.when(a > 0, (1 - b / a) * 100).otherwise(0.0).alias("reduction"))
 
 
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one in ``order``, without a one-task sort.
+
+    Rows are range-partitioned and written once; each partition starts from the sums before it.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "running")
+    local = F.sum(value).over(Window.partitionBy("_pid").orderBy(*order))
+    sums = parts.groupBy("_pid").agg(F.sum(value).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    return parts.withColumn(out, local).join(sums.select("_pid", before.alias("_before")), "_pid").withColumn(out, F.col(out) + F.col("_before")).drop("_pid", "_before")
+
+
 def nearest_rank(df: DataFrame, value: Column, share: float = 0.95, out: str = "p") -> DataFrame:
     """The value at place int(n * share) of the sorted values, by counts per value, not by a list of all."""
-    from pyspark.sql import Window
-
     per = df.select(value.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("c"))
-    total = per.agg(F.sum("c").alias("n"))
-    run = per.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    return run.join(total).where(F.col("upto") > F.floor(F.col("n") * share)).agg(F.min("v").alias(out))
+    run = running_total(per, ["v"], "c", "upto")
+    total = run.agg(F.sum("c").alias("n"))
+    return run.join(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("n") * share)).agg(F.min("v").alias(out))  # one row
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
@@ -85,3 +97,14 @@ def quality_of_lines(df: DataFrame, line: str, required: tuple[str, ...] = ("mes
     listed = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.messages", "variant")).startswith("ARRAY"), F.lit(False))
     label = F.when(v.isNull(), "bad_json").when(~kind.startswith("OBJECT"), "bad_type").when(lacks, "missing_key").when(~listed, "bad_messages").otherwise("ok")
     return df.where(F.trim(line) != "").groupBy(label.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """The table with counters that fill while it is computed, at no extra pass: rows, and one sum per counter."""
+    watch = Observation(name)
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(n) for n, c in counters.items())), watch
+
+
+def round_stats(df: DataFrame, round_col: str, good: Column, scores: tuple[str, ...] = ("match", "simplicity", "overall")) -> DataFrame:
+    """Per round: rows, good rows and the mean of each score."""
+    return df.groupBy(round_col).agg(F.count("*").alias("n"), F.count_if(good).alias("n_good"), *(F.avg(s).alias(f"mean_{s}") for s in scores))

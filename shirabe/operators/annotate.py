@@ -26,7 +26,7 @@ def annotate(docs: DataFrame, entries: DataFrame, key: str, text: str, embed: Ca
         toks = toks.withColumn("_flag", region_flags(F.col("_tok"), F.col("_reg")))
     grams = ngrams(toks, "_tok", max_n, [key], "_flag" if regions else None, joiner).where(~is_trivial(F.col("span")))
     grams = materialize(grams, "spans")
-    spans = grams.select("span").distinct().withColumn("vec", embed(F.col("span")))
+    spans = materialize(grams.select("span").distinct().withColumn("vec", embed(F.col("span"))), "span-vectors")  # embedded once, however many blocks follow
     table = materialize(entries.withColumn("vec", embed(F.col("expr"))).select("entry_no", "hpo_id", "label", "expr", "vec"), "entries")
     hits = knn(spans, table.select("entry_no", "vec"), top_k, "span", "entry_no", "vec", hold="base")
     full = hits.join(table.drop("vec"), "entry_no")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shirabe.session import materialize
+
 # Signs that do not count at the edges of a span.
 EDGE_SIGNS = " \t\r\n、。.,()（）[]【】「」『』:：;；"
 
@@ -58,6 +60,35 @@ def matcher_ratio(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
+HOT = 100_000  # texts of one key from which on they are not sent to one task
+
+
+def _hot_picks(rows: DataFrame, k: int, threshold: float, n_order: int) -> DataFrame:
+    """``g``, ``x``, ``p`` for keys with very many texts, one place per pass over them."""
+    place = F.struct(*[f"r{i}" for i in range(n_order)], "s")
+    rows = materialize(rows.select("g", "x", place.alias("at")), "hot-texts")
+    taken = rows.select("g", F.array().cast("array<struct<x:string,diverse:boolean>>").alias("taken")).distinct()
+    for diverse in (True, False):
+        for _ in range(k):
+            names = F.transform("taken", lambda t: t["x"])
+            able = rows.join(taken.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).where((F.size("taken") < k) & ~F.array_contains(names, F.col("x")))
+            if diverse:
+                able = able.where(_differs(F.col("x"), names, F.lit(threshold)))
+            first = able.groupBy("g").agg(F.min_by("x", "at").alias("x")).select(F.col("g").alias("_g"), "x")
+            joined = taken.join(first, F.col("g").eqNullSafe(F.col("_g")), "left")
+            grown = materialize(joined.select("g", F.when(F.col("x").isNotNull(), F.concat("taken", F.array(F.struct("x", F.lit(diverse).alias("diverse"))))).otherwise(F.col("taken")).alias("taken"), F.col("x").isNotNull().alias("more")), "hot-picks")
+            more = not grown.where("more").isEmpty()
+            taken = grown.select("g", "taken")
+            if not more:
+                break
+    return taken.select("g", F.posexplode("taken").alias("p", "t")).select("g", F.col("t.x").alias("x"), (F.col("p") + 1).cast("int").alias("p"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _differs(x: pd.Series, taken: pd.Series, threshold: pd.Series) -> pd.Series:
+    return pd.Series([all(SequenceMatcher(None, a, t).ratio() < h for t in ts) for a, ts, h in zip(x, taken, threshold)], dtype="bool")
+
+
 def diverse_top_k(df: DataFrame, key: str, text: str, k: int, threshold: float = 0.7, order: list[Column] | None = None, seq: str = "seq", dedupe: bool = True, out: str = "pick") -> DataFrame:
     """``key``, ``text``, ``pick`` (from 1): up to k texts per key that differ enough.
 
@@ -65,7 +96,9 @@ def diverse_top_k(df: DataFrame, key: str, text: str, k: int, threshold: float =
     keeps them in input order.  Otherwise texts come in ``order`` (length, then text, if not given),
     one is taken if its ratio to every text taken is below the threshold, and free places are
     filled from the front, no text twice.  Rows stream in order through each partition: a task
-    holds k picks per key and never a whole group.
+    holds k picks per key and never a whole group.  A key of more than ``HOT`` texts is not sent to
+    one task: there each of the k places is settled for all such keys at once, by the first text in
+    order that differs from those taken (an aggregate that combines before the shuffle).
     """
     rows = df.select(F.col(key).alias("g"), F.trim(text).alias("x"), F.col(seq).alias("s"), *[o.alias(f"o{i}") for i, o in enumerate(order or [])]).where(F.col("x") != "")
     if dedupe:
@@ -76,7 +109,9 @@ def diverse_top_k(df: DataFrame, key: str, text: str, k: int, threshold: float =
     own = [F.col(f"o{i}") for i in range(len(order))] if order else [F.length("x"), F.col("x")]
     few = F.when(F.col("n") <= k, F.col("s"))
     sent = rows.select("g", "x", "n", few.alias("f"), "s", *[o.alias(f"r{i}") for i, o in enumerate(own)])
-    sent = sent.repartition("g").sortWithinPartitions("g", "f", *[f"r{i}" for i in range(len(own))], "s")
+    hot = sent.where((F.col("n") > HOT) & (F.col("n") > k))
+    picked = _hot_picks(hot, k, threshold, len(own)) if count.where(F.col("n") > HOT).limit(1).count() else None
+    sent = sent.where((F.col("n") <= HOT) | (F.col("n") <= k)).repartition("g").sortWithinPartitions("g", "f", *[f"r{i}" for i in range(len(own))], "s")
 
     def run(batches):
         group, taken, spare, n = object(), [], [], 0
@@ -108,4 +143,5 @@ def diverse_top_k(df: DataFrame, key: str, text: str, k: int, threshold: float =
             yield pd.DataFrame(flush(), columns=["g", "x", "p"])
 
     schema = T.StructType([T.StructField("g", df.schema[key].dataType), T.StructField("x", T.StringType()), T.StructField("p", T.IntegerType())])
-    return sent.select("g", "x", "n").mapInPandas(run, schema).select(F.col("g").alias(key), F.col("x").alias(text), F.col("p").alias(out))
+    few = sent.select("g", "x", "n").mapInPandas(run, schema)
+    return (few if picked is None else few.unionByName(picked)).select(F.col("g").alias(key), F.col("x").alias(text), F.col("p").alias(out))

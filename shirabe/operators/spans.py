@@ -63,6 +63,29 @@ def joined_tokens(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: t["tok"]), " ")
 
 
+Tagger = Callable[[str], list[tuple[str, int, int]]]
+REGIONS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def tag_name(tag: str) -> str:
+    """A tag without its position: "B-x" and "I-x" are x."""
+    return tag[2:] if tag[:2] in ("B-", "I-") else tag
+
+
+def tag_regions(col: Column, tagger: Tagger | None, allowed: list[str]) -> Column:
+    """Character ranges whose tag, without its position, begins with one of ``allowed``: array of begin, end.
+
+    ``tagger`` gives (tag, begin, end) of a text.  Without a tagger, and for null and empty texts, the
+    array is empty, which ``region_flags`` reads as "nothing to gate by".
+    """
+
+    @F.pandas_udf(REGIONS)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [{"begin": b, "end": e} for t, b, e in tagger(x) if tag_name(t).startswith(tuple(allowed))] if x and tagger else [])
+
+    return run(col)
+
+
 def region_flags(tokens: Column, regions: Column) -> Column:
     """Per token whether it overlaps one of the allowed character ranges (array of begin, end).
 

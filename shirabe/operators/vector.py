@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from shirabe.session import materialize
+
 BLOCK = 20_000
 
 
@@ -56,6 +58,11 @@ def _blocks(df: DataFrame, size: int) -> Iterator[list]:
         yield block
 
 
+def _written_once(moving: DataFrame, kept: DataFrame, block: int) -> DataFrame:
+    """``moving``, written down if several blocks will stream it, so that it is computed once."""
+    return materialize(moving, "vectors") if kept.limit(block + 1).count() > block else moving
+
+
 def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k largest scores per row; all that tie with the k-th stay, to be settled by key."""
     top = min(k, score.shape[1])
@@ -76,6 +83,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", bid: str
     q = queries.where(F.col(vec).isNotNull()).select(F.col(qid).alias("i"), F.col(vec).alias("v"))
     b = base.where(F.col(vec).isNotNull()).select(F.col(bid).alias("i"), F.col(vec).alias("v"))
     kept, moving = (q, b) if hold == "queries" else (b, q)
+    moving = _written_once(moving, kept, block)
     qt, bt = queries.schema[qid].dataType, base.schema[bid].dataType
     kind = to_arrow_type(qt if hold == "queries" else bt)
     schema = T.StructType([T.StructField("q", qt), T.StructField("b", bt), T.StructField("s", T.DoubleType())])
@@ -120,8 +128,10 @@ def own_and_other(records: DataFrame, labels: DataFrame, rid: str, group: str, v
     ga = to_arrow_type(gt)
     schema = T.StructType([T.StructField("r", rt), T.StructField("own", T.DoubleType()), T.StructField("other", T.DoubleType()), T.StructField("g", gt)])
     rows = records.where(F.col(vec).isNotNull()).select(F.col(rid).alias("r"), F.col(group).alias("g"), F.col(vec).alias("v"))
+    held_side = labels.where(F.col(vec).isNotNull()).select(group, vec)
+    rows = _written_once(rows, held_side, block)
     out = None
-    for part in _blocks(labels.where(F.col(vec).isNotNull()).select(group, vec).orderBy(group), block):
+    for part in _blocks(held_side.orderBy(group), block):
         held = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
 
         def run(batches, held=held):

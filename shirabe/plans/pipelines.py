@@ -16,12 +16,42 @@ from shirabe.operators.vector import hashed_embedding, own_and_other, similarity
 from shirabe.session import materialize
 
 
+def source_of(score: Column, official: float = 10.0) -> Column:
+    """"official" for the score that official labels carry, else "gen_filtered"."""
+    return F.when(score == official, "official").otherwise("gen_filtered")
+
+
+def removal_details(rows: DataFrame, labels: DataFrame, key: str = "hpo_id", label: str = "label") -> DataFrame:
+    """Adds ``details``: own_sim, other_sim, margin (rounded), best_other and its label ('' if unknown)."""
+    names = labels.select(F.col(key).alias("_k"), F.col(label).alias("_l"))
+    joined = rows.join(names, F.col("best_other") == F.col("_k"), "left")
+    parts = [F.round("own", 4).alias("own_sim"), F.round("other", 4).alias("other_sim"), F.round(F.col("other") - F.col("own"), 4).alias("margin"), F.col("best_other").alias("best_other_id"), F.coalesce("_l", F.lit("")).alias("best_other_label")]
+    return joined.withColumn("details", F.struct(*parts)).drop("_k", "_l", "own", "other", "best_other")
+
+
+def update_both(tables: list[DataFrame], labels: DataFrame, key: str, columns: list[str]) -> list[DataFrame]:
+    """One patch, ``labels`` (unique keys), written into every table that has the key."""
+    return [update_columns(t, labels, key, columns) for t in tables]
+
+
+def drop_unlabelled(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose label is neither null nor blank."""
+    return df.where(F.col(label).rlike(r"(?U)\S"))
+
+
+def differing(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose two texts differ once compared alike, and one row with the counts ``before`` and ``after``."""
+    keep = compare_key(F.col(a)) != compare_key(F.col(b))
+    return df.where(keep), df.agg(F.count("*").alias("before"), F.count_if(keep).alias("after"))
+
+
 def curate(records: DataFrame, ontology: DataFrame, policy: str = "drop_all", self_min: float = 0.4, other_margin: float = 0.15, ambiguous_gap: float = 0.05, official: bool = True, embed: Callable[[Column], Column] = hashed_embedding, mode: str = "patient", normal: Callable[[Column], Column] = match_key) -> tuple[DataFrame, DataFrame]:
     """Kept and removed expressions.
 
     ``records``: hpo_id, expr, score, mode, source, seq; ``ontology``: hpo_id, label, depth, seq.
     Stages in order, cheap before dear: equal to the own label, in several groups, similarity;
-    then official labels are added and all texts cleaned again.
+    then official labels are added and all texts cleaned again.  Rows removed by similarity carry
+    ``details``: both similarities, their margin and the other label, rounded to four places.
     """
     meta = last_wins(ontology, ["hpo_id"])
     rows = records.withColumn("norm", normal(F.col("expr"))).join(meta.select("hpo_id", "label", "depth"), "hpo_id", "left").withColumn("label", F.coalesce("label", F.lit("")))
@@ -34,7 +64,8 @@ def curate(records: DataFrame, ontology: DataFrame, policy: str = "drop_all", se
         texts = rest.select("seq", "hpo_id", embed(F.col("expr")).alias("vec"))
         sims = own_and_other(texts, labels, "seq", "hpo_id")
         scored = rest.join(sims, "seq", "left").withColumn("reason", similarity_reason(F.col("own"), F.col("other"), self_min, other_margin, ambiguous_gap))
-        rest, far = scored.where(F.col("reason").isNull()).drop("reason", "own", "other", "best_other"), scored.where(F.col("reason").isNotNull())
+        scored = materialize(scored, "scored")  # embedded and compared once, for the kept and the removed rows
+        rest, far = scored.where(F.col("reason").isNull()).drop("reason", "own", "other", "best_other"), removal_details(scored.where(F.col("reason").isNotNull()), meta)
     else:
         far = rest.where(F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
     kept = rest.select("hpo_id", "label", "expr", "score", "mode", F.lit(False).alias("is_official"))
@@ -42,7 +73,7 @@ def curate(records: DataFrame, ontology: DataFrame, policy: str = "drop_all", se
         universe = records.select("hpo_id")
         extra = {"label": F.col("label"), "score": F.lit(10.0), "mode": F.lit(mode), "is_official": F.lit(True)}
         kept = inject_official(kept, universe, meta, "hpo_id", "expr", "label", normal, extra)
-    kept = kept.withColumn("expr", clean_expression(F.col("expr"), F.col("mode"))).withColumn("source", F.when(F.col("is_official"), "official").otherwise("gen_filtered"))
+    kept = kept.withColumn("expr", clean_expression(F.col("expr"), F.col("mode"))).withColumn("source", source_of(F.col("score")))
     gone = same.unionByName(dup, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)
     return kept, gone
 
@@ -117,9 +148,18 @@ def os_join(path: str, name: str) -> str:
     return path.rstrip("/") + "/" + name
 
 
-def sweep(grid: dict[str, list], run: Callable[[dict], DataFrame | None]) -> list[tuple[dict, DataFrame | None]]:
-    """Every combination of the grid's values, in order."""
-    return [(setting := dict(zip(grid, values)), run(setting)) for values in itertools.product(*grid.values())]
+def sweep(grid: dict[str, list], run: Callable[[dict], DataFrame | None], done: Callable[[dict], bool] | None = None) -> list[tuple[dict, DataFrame | None]]:
+    """Every combination of the grid's values, in order; combinations that ``done`` knows as finished are left out.
+
+    With outputs in files, ``done`` is ``lambda s: finished(spark, path_of(s))``.
+    """
+    settings = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return [(s, run(s)) for s in settings if done is None or not done(s)]
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Was the table at this path written to its end?"""
+    return exists(spark, os_join(path, "_SUCCESS"))
 
 
 def summarize(kept: DataFrame, removed: DataFrame, metrics: DataFrame, condition: str, names: list[str]) -> DataFrame:

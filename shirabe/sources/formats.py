@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import warnings
 import xml.etree.ElementTree as ET
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -109,6 +110,14 @@ def _cells(path: str, sheet: int):
             yield out
 
 
+def with_vectors(texts: DataFrame, vectors: DataFrame, index: str = "row_idx") -> DataFrame:
+    """Texts and the vectors of their row numbers; unequal row counts only warn, as surplus rows find no partner."""
+    a, b = texts.count(), vectors.count()
+    if a != b:
+        warnings.warn(f"{a} texts but {b} vectors", stacklevel=2)
+    return texts.join(vectors, index)
+
+
 def register(spark: SparkSession) -> None:
     """Make ``spark.read.format("npy")`` and ``("xlsx")`` known."""
     from shirabe.session import ship

@@ -41,9 +41,12 @@ def with_seq(df: DataFrame, name: str = "seq") -> DataFrame:
     return df.select("*", order.alias(name))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, required: list[str] | None = None, sep: str = ",") -> DataFrame:
-    """CSV with a header, all texts unless ``schema`` says otherwise; a byte order mark is dropped, blanks are null."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"', sep=sep, encoding="UTF-8")
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, required: list[str] | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """CSV with a header, all texts unless ``schema`` says otherwise; a byte order mark is dropped, blanks are null.
+
+    With ``multi_line`` quoted values may hold line ends; every file is then one task.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', sep=sep, encoding="UTF-8")
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return with_seq(require(df, required or []))
 
@@ -122,16 +125,28 @@ def read_dictionary(spark: SparkSession, path: str | list[str], text_key: str =
     return rows.drop("_label").join(labels, "hpo_id", "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 
+def read_texts(spark: SparkSession, path: str | list[str], key: str) -> DataFrame:
+    """``text``, ``seq``: the value of one key of each JSON line, trimmed; blank values are skipped."""
+    return read_jsonl(spark, path).select(strip(json_text("v", key)).alias("text"), "seq").where(F.col("text") != "")
+
+
+def read_rounds(spark: SparkSession, path: str) -> DataFrame:
+    """``v``, ``seq``, ``round``: JSON lines of files named ``round_<key>.jsonl``, the key as text."""
+    return read_jsonl(spark, path).withColumn("round", F.regexp_extract("file", r"round_([^/]*?)\.jsonl?$", 1)).drop("file")
+
+
 def read_obo(spark: SparkSession, path: str | list[str], terms_only: bool = True, drop_obsolete: bool = False, greedy_quote: bool = False) -> DataFrame:
     """``id``, ``name``, ``definition``, ``synonyms``, ``parents``, ``obsolete``, ``seq`` of an OBO file's stanzas.
 
     One parser for all uses: ``terms_only`` leaves out typedefs, ``greedy_quote`` ends a definition at
     the last quote of its line instead of the next unescaped one; modifiers in braces and comments
-    never become part of a parent id.
+    never become part of a parent id.  A stanza begins at its header line, whatever stands before
+    it, and ends at a blank line or the next header; line ends may be those of any system.
     """
-    stanza = with_seq(spark.read.text(path, lineSep="\n\n")).select(F.replace("value", F.lit("\r"), F.lit("")).alias("s"), "seq")
+    stanza = with_seq(spark.read.text(path, lineSep="\n[")).select(F.regexp_replace("value", r"\r\n?", "\n").alias("s"), "seq")
+    stanza = stanza.where(F.col("s").rlike(r"^\[?\w+\]")).withColumn("s", F.regexp_replace("s", r"(?s)\n[ \t]*\n.*", ""))
     if terms_only:
-        stanza = stanza.where(F.col("s").rlike(r"(?m)^\[Term\]"))
+        stanza = stanza.where(F.col("s").rlike(r"^\[?Term\]"))
 
     def line(key: str, body: str = r"(.*)") -> Column:
         return F.regexp_extract("s", rf"(?m)^{key}:[ \t]*{body}$", 1)
@@ -165,21 +180,28 @@ def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return one.select("case", F.col("a.hpo_id").alias("term"), F.coalesce("a.score", F.lit(0.0)).alias("score"), F.coalesce("a.status", F.lit("present")).alias("status"), F.col("pos").alias("seq")).where(F.coalesce("term", F.lit("")) != "")
 
 
-def read_chat(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Valid chat rows (``messages``, ``output``, ``seq``) and the count of bad lines."""
+def read_chat(spark: SparkSession, path: str | list[str], validate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Valid chat rows (``messages``, ``output``, ``seq``) and the count of bad lines.
+
+    Without ``validate`` every line that is a JSON object counts as it is.
+    """
     from shirabe.functions.chat import MESSAGES
 
-    rows = with_seq(spark.read.text(path)).where(F.trim("value") != "").select(F.from_json("value", f"messages {MESSAGES}, output string").alias("j"), "seq")
-    good = F.coalesce(F.size("j.messages") > 0, F.lit(False)) & F.col("j.output").rlike(r"(?U)\S")
+    rows = with_seq(spark.read.text(path)).where(F.trim("value") != "").select(F.from_json("value", f"messages {MESSAGES}, output string").alias("j"), F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)).alias("ok"), "seq")
+    good = F.coalesce(F.size("j.messages") > 0, F.lit(False)) & F.col("j.output").rlike(r"(?U)\S") if validate else F.col("ok")
     ok = rows.where(good).select("j.messages", "j.output", "seq")
     return ok, rows.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
 
 
 def read_instructions(spark: SparkSession, path: str | list[str], most: int | None = None) -> DataFrame:
-    """``text_input``, ``output``, ``seq``: instruction and input joined by a blank line, blank outputs dropped."""
+    """``text_input``, ``output``, ``seq``: instruction and input joined by a blank line, blank outputs dropped.
+
+    With ``most`` only the first lines count, blank and broken ones among them.
+    """
     rows = read_jsonl(spark, path)
     if most is not None:
-        rows = rows.orderBy("seq").limit(most)
+        last = with_seq(spark.read.text(path)).select("seq").orderBy("seq").limit(most).agg(F.max("seq").alias("_last"))
+        rows = rows.join(F.broadcast(last), F.col("seq") <= F.col("_last"))  # one row
     text = lambda k: F.trim(F.coalesce(json_text("v", k), F.lit("")))
     both = F.concat_ws("\n\n", F.when(text("instruction") != "", text("instruction")), F.when(text("input") != "", text("input")))
     return rows.select(both.alias("text_input"), text("output").alias("output"), "seq").where(F.col("output") != "")

@@ -213,3 +213,80 @@ def test_line_quality_and_histogram(spark):
     assert {r.kind: r.n for r in aggregate.quality_of_lines(df, "l").collect()} == {"ok": 1, "bad_messages": 1, "missing_key": 1, "bad_type": 1, "bad_json": 1}
     flat = spark.createDataFrame([(1.0,), (1.0,), (None,)], "v double")
     assert [tuple(r)[:2] for r in aggregate.histogram(flat, F.col("v"), 10).collect()] == [(0, 2)]
+
+
+def test_hot_keys_are_picked_like_others(spark, monkeypatch):
+    import random
+
+    from shirabe.operators import similarity
+
+    rng = random.Random(1)
+    rows = [("a", "".join(rng.choice("あいうえおか") for _ in range(rng.randint(1, 9))), i) for i in range(200)] + [("b", "".join(rng.choice("xyz") for _ in range(6)), i) for i in range(60)] + [(None, "p", 1), (None, "q", 2), ("c", " ", 3), ("c", None, 4)]
+    df = spark.createDataFrame(rows, "g string, x string, seq int")
+    for kwargs in ({}, {"order": [-F.col("seq")]}, {"threshold": 0.1}, {"dedupe": False}):
+        want = sorted(map(str, similarity.diverse_top_k(df, "g", "x", 6, **kwargs).collect()))
+        monkeypatch.setattr(similarity, "HOT", 50)
+        assert sorted(map(str, similarity.diverse_top_k(df, "g", "x", 6, **kwargs).collect())) == want
+        monkeypatch.undo()
+
+
+def test_nearest_rank_over_partitions(spark):
+    from shirabe.operators.aggregate import nearest_rank
+
+    values = [(i * 7919) % 5003 for i in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int").repartition(6)
+    assert nearest_rank(df, F.col("v"), 0.95).first()[0] == sorted(values)[int(5000 * 0.95)]
+    assert nearest_rank(df.where("false"), F.col("v")).first()[0] is None
+
+
+def test_tags_and_regions(spark):
+    from shirabe.operators.spans import region_flags, tag_regions, tokenize
+
+    def tagger(t):
+        return [("B-dis", 0, 2), ("I-dis", 2, 3), ("drug", 4, 6), ("O", 6, 7)]
+
+    df = spark.createDataFrame([(1, "頭が 痛い"), (2, None), (3, "")], "k int, t string")
+    got = {r.k: [(x.begin, x.end) for x in r.r] for r in df.select("k", tag_regions(F.col("t"), tagger, ["dis"]).alias("r")).collect()}
+    assert got == {1: [(0, 2), (2, 3)], 2: [], 3: []}
+    made = df.where("k = 1").select(tokenize(F.col("t")).alias("tok"), tag_regions(F.col("t"), tagger, ["dis"]).alias("r"), tag_regions(F.col("t"), None, ["dis"]).alias("none"))
+    flags = made.select(region_flags(F.col("tok"), F.col("r")).alias("f"), region_flags(F.col("tok"), F.col("none")).alias("g")).first()
+    assert flags.f == [True, False] and flags.g == [True, True]
+
+
+def test_calls_wait_run_at_once_and_report(spark):
+    import time
+
+    from shirabe.operators.iterate import call_batches, call_rows
+
+    def slow(row):
+        if row["id"] % 5 == 4:
+            raise ValueError("no")
+        time.sleep(0.2)
+        return str(row["id"])
+
+    began = time.time()
+    got = call_rows(spark.range(20).coalesce(1), "id", slow, retries=1, in_flight=10, wait=0.05, on_error="").orderBy("id").collect()
+    assert time.time() - began < 20 * 0.2 + 1 and [r.text for r in got][:5] == ["0", "1", "2", "3", ""] and got[4].error.startswith("ValueError")
+
+    def many(values):
+        if any(v % 7 == 6 for v in values):
+            raise ValueError("bad")
+        return [str(v * 2) for v in values]
+
+    rows = {r.id: (r.text, r.error) for r in call_batches(spark.range(20).coalesce(1), "id", many, size=4).collect()}
+    assert rows[3] == ("6", None) and rows[5] == ("10", None) and rows[6][0] is None and rows[13][1].startswith("ValueError")
+
+
+def test_collate_pads_and_masks(spark):
+    from shirabe.functions.chat import collate
+
+    df = spark.createDataFrame([(1, "ab", "abcd"), (1, "a", "ab"), (2, None, None)], "b int, p string, f string")
+    got = sorted((r.b, r.input_ids, r.attention_mask, r.labels) for r in collate(df, "p", "f", lambda x: [ord(c) for c in x], "b", longest=3).collect())
+    assert got == [(1, [97, 98, 0], [1, 1, 0], [-100, 98, -100]), (1, [97, 98, 99], [1, 1, 1], [-100, -100, 99]), (2, [], [], [])]
+
+
+def test_observed_counters(spark):
+    from shirabe.operators.aggregate import observed
+
+    df, watch = observed(spark.range(10), "o", even=F.col("id") % 2 == 0)
+    assert df.count() == 10 and watch.get == {"rows": 10, "even": 5}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shirabe.operators import graph
 from shirabe.operators.dedupe import last_wins
 from shirabe.plans.pipelines import run_steps, sweep
 from shirabe.sources import formats, readers, writers
@@ -63,6 +64,38 @@ def test_obo(spark, tmp_path):
     assert readers.read_obo(spark, str(p), terms_only=False, drop_obsolete=True).count() == 3
 
 
+@pytest.mark.parametrize("change", [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n\n", "\n"), lambda t: t.replace("\n\n", "\n").replace("\n", "\r\n"), lambda t: t.split("\n\n", 1)[1]])
+def test_obo_in_any_layout(spark, tmp_path, change):
+    p = tmp_path / "o.obo"
+    p.write_bytes(change(OBO).encode())
+    rows = readers.read_obo(spark, str(p), terms_only=False)
+    by = {r.id: r for r in rows.collect()}
+    assert set(by) == {"T:1", "T:2", "T:3", "part_of"} and by["T:2"].parents == ["T:1", "T:3"] and by["T:2"].name == "child" and by["T:3"].obsolete
+    assert readers.read_obo(spark, str(p)).count() == 3
+    up = graph.closure(graph.edges(rows, "id", F.col("parents")))
+    assert sorted(tuple(r) for r in up.collect()) == [("T:2", "T:1"), ("T:2", "T:3"), ("part_of", "T:9")]
+
+
+def test_stray_lines_after_a_blank_line_belong_to_no_stanza(spark, tmp_path):
+    p = tmp_path / "o.obo"
+    p.write_text("[Term]\nid: T:1\n\nname: stray\n[Term]\nid: T:2\nname: two\n")
+    assert {r.id: r.name for r in readers.read_obo(spark, str(p)).collect()} == {"T:1": "", "T:2": "two"}
+
+
+def test_texts_rounds_and_line_caps(spark, tmp_path):
+    (tmp_path / "round_2.jsonl").write_text('{"t": " a "}\n{"t": ""}\n{"u": 1}\n')
+    (tmp_path / "round_x.jsonl").write_text('{"t": "b"}\n')
+    assert sorted(r.text for r in readers.read_texts(spark, str(tmp_path), "t").collect()) == ["a", "b"]
+    got = readers.read_rounds(spark, str(tmp_path)).select("round", F.coalesce(readers.json_text("v", "t"), F.lit("-")).alias("t"))
+    assert sorted((r["round"], r["t"]) for r in got.collect()) == [("2", " a "), ("2", "-"), ("2", "-"), ("x", "b")]
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "i.jsonl").write_text('\n{"instruction": "a", "output": "x"}\nbroken\n{"instruction": "b", "input": "c", "output": "y"}\n')
+    assert [r.output for r in readers.read_instructions(spark, str(tmp_path / "i"), most=3).collect()] == ["x"]
+    assert [r.text_input for r in readers.read_instructions(spark, str(tmp_path / "i"), most=4).orderBy("seq").collect()] == ["a", "b\n\nc"]
+    rows, bad = readers.read_chat(spark, str(tmp_path / "i"), validate=False)
+    assert rows.count() == 2
+
+
 def test_npy_round_trip(spark, tmp_path):
     formats.register(spark)
     df = spark.range(7).select(F.col("id").alias("row_idx"), F.array(F.col("id").cast("float"), F.lit(1.5).cast("float")).alias("embedding"))
