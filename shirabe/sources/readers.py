@@ -99,11 +99,11 @@ def ontology_items(df: DataFrame, id_col: str = "HPO_ID", prefix: str | None = N
     """
 
     def pick(names: list[str]) -> Column:
-        own = [F.trim(F.col(c)) for c in names if c in df.columns]
+        own = [strip(F.col(c)) for c in names if c in df.columns]
         return first_present(*own) if own else F.lit(None).cast("string")
 
     one = lambda c, default="": F.coalesce(pick([c]), F.lit(default))
-    rows = df.withColumn("_id", F.trim(F.col(id_col))).where(F.col("_id") != "")
+    rows = df.withColumn("_id", strip(F.col(id_col))).where(F.col("_id") != "")
     if prefix:
         rows = rows.where(F.col("_id").startswith(prefix))
     depth = depth_of(F.col("depth"), strict=strict_depth) if "depth" in df.columns else F.lit(999)
@@ -114,14 +114,14 @@ def read_log(spark: SparkSession, path: str | list[str], value_keys: list[str],
     """``hpo_id``, ``value``, ``seq`` of an append log, the last line per id; blank values are ignored."""
     from shirabe.operators.dedupe import last_wins
 
-    rows = read_jsonl(spark, path).select(json_text("v", *(id_keys or ALIASES["hpo_id"])).alias("hpo_id"), F.trim(json_text("v", *value_keys)).alias("value"), "seq")
+    rows = read_jsonl(spark, path).select(json_text("v", *(id_keys or ALIASES["hpo_id"])).alias("hpo_id"), strip(json_text("v", *value_keys)).alias("value"), "seq")
     return last_wins(rows.where((F.col("hpo_id") != "") & (F.col("value") != "")), ["hpo_id"])
 
 
 def read_dictionary(spark: SparkSession, path: str | list[str], text_key: str = "text", id_key: str = "hpo_id", label_key: str = "hpo_label") -> DataFrame:
     """``hpo_id``, ``expr``, ``label``, ``seq``; the label is the first one of the id that is not blank."""
-    rows = read_jsonl(spark, path).select(F.coalesce(json_text("v", id_key, *ALIASES["hpo_id"]), F.lit("")).alias("hpo_id"), F.trim(json_text("v", text_key)).alias("expr"), json_text("v", label_key).alias("_label"), "seq").where(F.col("expr") != "")
-    labels = rows.where(F.trim("_label") != "").groupBy("hpo_id").agg(F.min_by("_label", "seq").alias("label"))
+    rows = read_jsonl(spark, path).select(F.coalesce(json_text("v", id_key, *ALIASES["hpo_id"]), F.lit("")).alias("hpo_id"), strip(json_text("v", text_key)).alias("expr"), json_text("v", label_key).alias("_label"), "seq").where(F.col("expr") != "")
+    labels = rows.where(strip(F.col("_label")) != "").groupBy("hpo_id").agg(F.min_by("_label", "seq").alias("label"))
     return rows.drop("_label").join(labels, "hpo_id", "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 
@@ -153,11 +153,11 @@ def read_obo(spark: SparkSession, path: str | list[str], terms_only: bool = True
 
     quoted = r'"(.*)".*' if greedy_quote else r'"((?:[^"\\]|\\.)*)".*'
     out = stanza.select(
-        F.trim(F.regexp_extract("s", r"(?m)^id:[ \t]*(\S+)", 1)).alias("id"), F.trim(line("name")).alias("name"),
+        strip(F.regexp_extract("s", r"(?m)^id:[ \t]*(\S+)", 1)).alias("id"), strip(line("name")).alias("name"),
         F.regexp_replace(line("def", quoted), r"\\(.)", "$1").alias("definition"),
         F.regexp_extract_all("s", F.lit(r'(?m)^synonym:[ \t]*"((?:[^"\\]|\\.)*)"'), F.lit(1)).alias("synonyms"),
         F.array_distinct(F.regexp_extract_all("s", F.lit(r"(?m)^is_a:[ \t]*([^\s!{]+)"), F.lit(1))).alias("parents"),
-        (F.trim(line("is_obsolete")) == "true").alias("obsolete"), "seq").where(F.col("id") != "")
+        (strip(line("is_obsolete")) == "true").alias("obsolete"), "seq").where(F.col("id") != "")
     return out.where(~F.col("obsolete")) if drop_obsolete else out
 
 
@@ -187,7 +187,7 @@ def read_chat(spark: SparkSession, path: str | list[str], validate: bool = True)
     """
     from shirabe.functions.chat import MESSAGES
 
-    rows = with_seq(spark.read.text(path)).where(F.trim("value") != "").select(F.from_json("value", f"messages {MESSAGES}, output string").alias("j"), F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)).alias("ok"), "seq")
+    rows = with_seq(spark.read.text(path)).where(strip(F.col("value")) != "").select(F.from_json("value", f"messages {MESSAGES}, output string").alias("j"), F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)).alias("ok"), "seq")
     good = F.coalesce(F.size("j.messages") > 0, F.lit(False)) & F.col("j.output").rlike(r"(?U)\S") if validate else F.col("ok")
     ok = rows.where(good).select("j.messages", "j.output", "seq")
     return ok, rows.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
@@ -202,7 +202,7 @@ def read_instructions(spark: SparkSession, path: str | list[str], most: int | No
     if most is not None:
         last = with_seq(spark.read.text(path)).select("seq").orderBy("seq").limit(most).agg(F.max("seq").alias("_last"))
         rows = rows.join(F.broadcast(last), F.col("seq") <= F.col("_last"))  # one row
-    text = lambda k: F.trim(F.coalesce(json_text("v", k), F.lit("")))
+    text = lambda k: strip(F.coalesce(json_text("v", k), F.lit("")))
     both = F.concat_ws("\n\n", F.when(text("instruction") != "", text("instruction")), F.when(text("input") != "", text("input")))
     return rows.select(both.alias("text_input"), text("output").alias("output"), "seq").where(F.col("output") != "")
 

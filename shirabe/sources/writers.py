@@ -13,7 +13,8 @@ from shirabe.functions.text import int_key
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite", bom: bool = False) -> None:
     """CSV with a header; with ``bom`` the first header starts with a byte order mark."""
     out = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]) if bom else df
-    out.write.mode(mode).option("emptyValue", "").csv(path, header=True, sep=sep, quoteAll=False, escape='"')
+    plain = {"emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # values as they are
+    out.write.mode(mode).options(**plain).csv(path, header=True, sep=sep, quoteAll=False, escape='"')
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", keep_nulls: bool = True) -> None:
