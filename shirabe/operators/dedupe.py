@@ -36,7 +36,7 @@ def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def capped(df: DataFrame, key: str, n: int, seq: str = "seq", seed: int | None = None) -> DataFrame:
-    """At most ``n`` rows per key: a seeded, repeatable choice, or the first by ``seq`` without a seed.
+    """At most ``n`` rows per key: a seeded, repeatable choice (by the MD5 of seed and ``seq``), or the first by ``seq`` without a seed.
 
     Rows with a null key are dropped; ``n`` of 0 or less keeps all.  The limit is pushed below the
     shuffle by Spark's group limit, so a hot key sends at most ``n`` rows per partition.
@@ -44,7 +44,7 @@ def capped(df: DataFrame, key: str, n: int, seq: str = "seq", seed: int | None =
     rows = df.where(F.col(key).isNotNull())
     if n <= 0:
         return rows
-    order = [F.xxhash64(F.lit(seed), F.col(seq)), F.col(seq)] if seed is not None else [F.col(seq)]
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(seq).cast("string"))), F.col(seq)] if seed is not None else [F.col(seq)]
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 

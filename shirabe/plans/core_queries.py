@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shirabe.functions import chat, judge, text
 from shirabe.operators import aggregate, dedupe, evaluation, graph, joins, similarity, spans, vector
 from shirabe.operators.annotate import annotate
-from shirabe.plans import pipelines
+from shirabe.plans import pipelines, sql
 from shirabe.sources import readers
 from shirabe.streaming.annotate import event_counts, last_by_key
 
@@ -74,7 +74,7 @@ def stratified_cap(spark, sf):
     return dedupe.capped(_t(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", 3, "o_orderkey")
 
 
-@query()
+@query("SELECT seq, standard_name FROM (SELECT *, row_number() OVER (PARTITION BY standard_name ORDER BY md5('42:' || seq), seq) AS r FROM sft_rows WHERE standard_name IS NOT NULL) WHERE r <= 2")
 def stratified_cap_seeded(spark, sf):
     return dedupe.capped(_t(spark, sf, "sft_rows").select("seq", "standard_name"), "standard_name", 2, "seq", seed=42)
 
@@ -351,11 +351,17 @@ def judge_parse(spark, sf):
     return _t(spark, sf, "expr_records").select("seq", judge.parse_verdict(raw).alias("j")).select("seq", "j.match", "j.simplicity", "j.overall", "j.too_technical", "j.how")
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT {sql.compare_key('output')} AS s, {sql.compare_key('standard_name')} AS n FROM sft_rows WHERE {sql.some('output')} AND {sql.some('standard_name')}),
+l AS (SELECT trim(jp_final) AS l, arg_max(struct_pack(i := hpo_id, d := definition_ja), seq) AS m FROM hpo_master WHERE {sql.some('jp_final')} GROUP BY 1)
+SELECT 'SYSTEM: 症状を言い換える係です。' || chr(10) || 'USER: 患者さんの言葉で書いてください。' || chr(10) || '名称: ' || n || CASE WHEN {sql.some('l.m.d')} THEN chr(10) || '説明: ' || l.m.d ELSE '' END || chr(10) || 'ASSISTANT:' AS prompt,
+ s AS output, 'patient_expression' AS task, l.m.i AS hpo_id, {sql.some('l.m.d')} AS has_definition, n AS standard_name, 'dict_patient' AS source FROM r LEFT JOIN l ON r.n = l.l WHERE s <> n
+""")
 def training_rows(spark, sf):
     surfaces = _t(spark, sf, "sft_rows").select(F.col("output").alias("surface"), "standard_name")
     names = _t(spark, sf, "hpo_master").select(F.col("jp_final").alias("label"), "hpo_id", F.col("definition_ja").alias("definition"), "seq")
-    return pipelines.training_rows(surfaces, names, "患者さんの言葉で書いてください。", "症状を言い換える係です。", "patient_expression", "dict_patient")
+    rows = pipelines.training_rows(surfaces, names, "患者さんの言葉で書いてください。", "症状を言い換える係です。", "patient_expression", "dict_patient")
+    return rows.select(chat.render_roles(F.col("messages")).alias("prompt"), "output", "task", "hpo_id", "has_definition", "standard_name", "source")
 
 
 # --- similarity and vectors ------------------------------------------------------------------
@@ -374,7 +380,14 @@ def bigram_jaccard(spark, sf):
     return p.join(q, "k").select("k", F.round(similarity.bigram_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-@query()
+@query(f"""
+WITH h AS (SELECT a.p_partkey AS query_id, b.p_partkey AS entry_no, i AS rank, 1.0::DOUBLE - i / 20.0::DOUBLE AS score, {_CLEAN.format('a.p_name')} AS x, {_CLEAN.format('b.p_name')} AS y FROM part a JOIN (SELECT p_partkey, p_name, unnest([1, 2, 3, 4, 5]) AS i FROM part) b ON a.p_partkey = b.p_partkey - b.i),
+g AS (SELECT *, list_distinct([x[i:i+1] FOR i IN range(1, length(x))]) AS p, list_distinct([y[i:i+1] FOR i IN range(1, length(y))]) AS q FROM h),
+j AS (SELECT *, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN len(p) = 0 OR len(q) = 0 THEN 0.0 ELSE len(list_intersect(p, q)) / (len(p) + len(q) - len(list_intersect(p, q))) END AS jac FROM g),
+s AS (SELECT *, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN greatest(jac, least(length(x), length(y)) / greatest(length(x), length(y))) ELSE jac END AS lex, CASE WHEN length(x) > 0 AND length(y) < length(x) THEN (length(x) - length(y)) / length(x) ELSE 0.0 END AS short FROM j),
+c AS (SELECT *, score + 0.35::DOUBLE * lex - 0.40::DOUBLE * short AS combined FROM s WHERE lex >= 0.20)
+SELECT query_id, entry_no, round(combined, 6) AS combined FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank) AS r FROM c) WHERE r = 1 AND score >= 0.70
+""")
 def lexical_rerank(spark, sf):
     p = _t(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("span"))
     q = _t(spark, sf, "part").select(F.col("p_partkey").alias("entry_no"), F.col("p_name").alias("expr"), F.explode(F.array(*[F.struct((F.col("p_partkey") - i).alias("query_id"), F.lit(i).alias("rank"), F.lit(1.0 - i / 20).alias("score")) for i in range(1, 6)])).alias("h")).select("entry_no", "expr", "h.*")
@@ -418,11 +431,11 @@ def similarity_filter(spark, sf):
 
 
 @query("""
-SELECT label, list_transform(range(1, 65), lambda i: 0)[1] AS zero, count(*) AS n, round(sum(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS energy FROM embeddings GROUP BY 1
+SELECT label, count(*) AS n, round(sum(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS energy FROM embeddings GROUP BY 1
 """)
 def vector_norms(spark, sf):
     rows = _t(spark, sf, "embeddings")
-    return rows.groupBy("label").agg(F.lit(0).alias("zero"), F.count("*").alias("n"), F.round(F.sum(vector.dot(F.col("embedding"), F.col("embedding"))), 3).alias("energy"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(vector.dot(F.col("embedding"), F.col("embedding"))), 3).alias("energy"))
 
 
 @query()
@@ -526,7 +539,7 @@ def _in(words):
 
 
 @query(f"""
-WITH r AS (SELECT ref_id, substr(ref_label, i, n) AS s FROM label_ref, unnest(range(1, 12)) AS a(i), unnest(range(1, 5)) AS b(n) WHERE i + n - 1 <= length(ref_label)),
+WITH r AS (SELECT ref_id, substr(ref_label, i, n) AS s FROM label_ref, unnest(range(1, length(ref_label) + 1)) AS a(i), unnest(range(1, 5)) AS b(n) WHERE i + n - 1 <= length(ref_label)),
 a AS (SELECT DISTINCT s, trim(s, '{spans.SPAN_SIGNS.replace(chr(39), chr(39) * 2)}') AS b FROM r),
 p AS (SELECT s, b, {' '.join(f"CASE WHEN b LIKE '%{x}' AND length(b) > {len(x)} THEN left(b, length(b) - {len(x)}) ELSE" for x in spans.PARTICLES)} b {'END ' * len(spans.PARTICLES)} AS c FROM a),
 q AS (SELECT s, b, CASE WHEN trim(c, '{spans.SPAN_SIGNS.replace(chr(39), chr(39) * 2)}') <> '' THEN trim(c, '{spans.SPAN_SIGNS.replace(chr(39), chr(39) * 2)}') ELSE b END AS k FROM p)
@@ -534,7 +547,7 @@ SELECT s AS span FROM q WHERE NOT (b = '' OR (length(k) = 1 AND k NOT IN ({_in(s
  OR k IN ({_in(spans.STOP_WORDS)}) OR regexp_matches(k, '{spans.TEMPORAL}') OR b IN ({_in(spans.STOP_PHRASES)}))
 """)
 def trivial_spans(spark, sf):
-    rows = _t(spark, sf, "label_ref").select("ref_label", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(i.alias("i"), n.alias("n")))))).alias("r"))
+    rows = _t(spark, sf, "label_ref").select("ref_label", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("ref_label")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(i.alias("i"), n.alias("n")))))).alias("r"))
     parts = rows.where(F.col("r.i") + F.col("r.n") - 1 <= F.length("ref_label")).select(F.substr("ref_label", F.col("r.i"), F.col("r.n")).alias("span")).distinct()
     return parts.where(~spans.is_trivial(F.col("span")))
 
@@ -561,7 +574,7 @@ def span_selection(spark, sf):
 def annotate_labels(spark, sf):
     entries = _t(spark, sf, "label_ref").select(F.regexp_extract("ref_id", r"\d+", 0).cast("bigint").alias("entry_no"), F.col("ref_id").alias("hpo_id"), F.col("ref_label").alias("label"), F.col("ref_label").alias("expr"))
     docs = _t(spark, sf, "label_fill").select("seq", "jp_final")
-    return annotate(docs, entries, "seq", "jp_final", max_n=3).select("seq", F.posexplode("annotations").alias("pos", "a")).select("seq", "pos", "a.hpo_id", "a.status", "a.evidence_span", F.round("a.score", 4).alias("score"))
+    return annotate(docs, entries, "seq", "jp_final", tokenizer=spans.script_tokenizer).select("seq", F.posexplode("annotations").alias("pos", "a")).select("seq", "pos", "a.hpo_id", "a.status", "a.evidence_span", F.round("a.score", 4).alias("score"))
 
 
 @query()
