@@ -13,10 +13,12 @@ from __future__ import annotations
 import base64
 import os
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,6 +205,22 @@ def codec(path: str = DEFAULT_VOCAB) -> Codec:
     return Codec(path)
 
 
+_shipped: dict[str, str] = {}
+
+
+def _ship(df: DataFrame, vocab: str) -> Callable[[], str]:
+    """Sends the vocabulary file to the executors with the job, once; gives the path it has on a worker."""
+    sc, name = df.sparkSession.sparkContext, os.path.basename(vocab)
+    if os.path.exists(vocab) and _shipped.setdefault(f"{sc.applicationId}/{name}", vocab) == vocab:
+        sc.addFile(vocab)
+
+    def local() -> str:
+        path = SparkFiles.get(name)
+        return path if os.path.exists(path) and not os.path.exists(vocab) else vocab
+
+    return local
+
+
 def _typed(df: DataFrame, key: str) -> T.DataType:
     return df.schema[key].dataType
 
@@ -213,9 +231,10 @@ def encode_column(df: DataFrame, key: str, text: str, vocab: str = DEFAULT_VOCAB
     Null and empty texts give the empty list.  No shuffle: texts are encoded where they lie; the
     ids leave in slices of about a million so that very long texts do not pile up in one batch.
     """
+    local = _ship(df, vocab)
 
     def run(batches):
-        enc = codec(vocab).encode
+        enc = codec(local()).encode
         for batch in batches:
             keys = batch.column(0)
             start, flat, ends = 0, array("i"), [0]
@@ -238,9 +257,10 @@ def encode_column(df: DataFrame, key: str, text: str, vocab: str = DEFAULT_VOCAB
 
 def count_column(df: DataFrame, key: str, text: str, vocab: str = DEFAULT_VOCAB, out: str = "n_tokens") -> DataFrame:
     """``key`` and the number of tokens of ``text`` (bigint; 0 for null and empty texts)."""
+    local = _ship(df, vocab)
 
     def run(batches):
-        enc = codec(vocab).encode
+        enc = codec(local()).encode
         for batch in batches:
             sizes = np.fromiter((len(enc(v.as_py())) for v in batch.column(1)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], ["k", "n"])
@@ -251,9 +271,10 @@ def count_column(df: DataFrame, key: str, text: str, vocab: str = DEFAULT_VOCAB,
 
 def decode_column(df: DataFrame, key: str, ids: str, vocab: str = DEFAULT_VOCAB, out: str = "text") -> DataFrame:
     """``key`` and the text of the ids; a null list gives null, the empty list the empty text."""
+    local = _ship(df, vocab)
 
     def run(batches):
-        dec = codec(vocab).decode
+        dec = codec(local()).decode
         for batch in batches:
             texts = [None if (v := x.as_py()) is None else dec(v) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "t"])

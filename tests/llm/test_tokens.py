@@ -1,10 +1,12 @@
+import base64
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shirabe.llm.bpe import DEFAULT_VOCAB, codec, count_column, decode_column, encode_column
+from shirabe.llm.bpe import DEFAULT_VOCAB, _ship, codec, count_column, decode_column, encode_column
 from shirabe.llm.packing import _best_fit, lower_bound, pack, plan_patterns
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -108,3 +110,13 @@ def test_packing_a_table(spark):
 def test_one_length_for_all(spark):
     df = spark.range(1000).select("id", F.lit(30).alias("n"))
     assert pack(df, "id", "n", 100).select("container").distinct().count() == 334
+
+
+def test_the_vocabulary_travels_with_the_job(spark, tmp_path):
+    path = tmp_path / "tiny.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" " + str(b).encode() for b in range(256)))
+    df = spark.createDataFrame([(1, "ab")], "k int, text string")
+    assert encode_column(df, "k", "text", vocab=str(path)).first().ids == [97, 98]
+    local = _ship(df, str(path))
+    path.rename(tmp_path / "elsewhere")  # as on an executor that does not have the path
+    assert spark.range(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(codec(local()).words)])], ["n"]) for _ in batches), "n bigint").first().n == 256
