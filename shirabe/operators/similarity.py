@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shirabe.functions.text import let
 from shirabe.session import materialize
 
 # Signs that do not count at the edges of a span.
@@ -26,22 +27,29 @@ def bigrams(col: Column) -> Column:
     return F.when(F.length(col) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - 1), lambda i: F.substring(col, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
+def _pair_share(x: Column, y: Column) -> Column:
+    """Share of common pairs of two texts without edges."""
+
+    def sets(p: Column, q: Column) -> Column:
+        return let(F.size(F.array_intersect(p, q)), lambda n: F.when((F.size(p) == 0) | (F.size(q) == 0), 0.0).otherwise(n / (F.size(p) + F.size(q) - n)))
+
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(let(bigrams(x), lambda p: let(bigrams(y), lambda q: sets(p, q))))
+
+
 def bigram_jaccard(a: Column, b: Column) -> Column:
     """1 for equal texts, else the share of common pairs; 0 if either is empty or has no pair."""
-    x, y = edge_free(a), edge_free(b)
-    p, q = bigrams(x), bigrams(y)
-    common = F.size(F.array_intersect(p, q))
-    either = F.size(p) + F.size(q) - common
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when((F.size(p) == 0) | (F.size(q) == 0), 0.0).otherwise(common / either)
+    return let(edge_free(a), lambda x: let(edge_free(b), lambda y: _pair_share(x, y)))
 
 
 def lexical_similarity(a: Column, b: Column) -> Column:
     """Pair overlap, or the ratio of lengths if one text holds the other and that is more."""
-    x, y = edge_free(a), edge_free(b)
-    inside = F.contains(x, y) | F.contains(y, x)
-    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
-    base = bigram_jaccard(a, b)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, F.greatest(base, ratio)).otherwise(base)
+
+    def judged(x: Column, y: Column) -> Column:
+        inside = F.contains(x, y) | F.contains(y, x)
+        ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+        return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, F.greatest(_pair_share(x, y), ratio)).otherwise(_pair_share(x, y))
+
+    return let(edge_free(a), lambda x: let(edge_free(b), lambda y: judged(x, y)))
 
 
 def short_penalty(span: Column, entry: Column) -> Column:

@@ -7,7 +7,6 @@ nothing that grows with the data is broadcast, and results are exact.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,22 +185,36 @@ def rerank(hits: DataFrame, query: str, score: str, lexical: Column, short: Colu
     return best.where(good & F.coalesce(F.col(entry_id) != "", F.lit(False)) if entry_id else good)
 
 
+def _hashed(values: list[str], width: int) -> np.ndarray:
+    """One row per text: its distinct characters and character pairs, each a sign at a hashed place."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(values)), sizes)
+    pair = (owner[1:] == owner[:-1]).nonzero()[0]
+    owner = np.concatenate([owner, owner[pair]])
+    gram = np.concatenate([codes, (codes[pair] + np.uint64(1)) << np.uint64(21) | codes[pair + 1]])
+    order = np.lexsort((gram, owner))
+    owner, gram = owner[order], gram[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+    owner, h = owner[first], gram[first]
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    out = np.zeros((len(values), width))
+    np.add.at(out, (owner, (h % np.uint64(width)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
+    n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, n, out=out, where=n > 0)
+
+
 def hashed_embedding(text: Column, width: int = 64) -> Column:
     """A deterministic stand-in for a model: hashed characters and character pairs, at length 1.
 
-    One Arrow call per batch; null and empty texts give the zero vector.
+    One Arrow call per batch, over all its texts at once; null and empty texts give the zero vector.
     """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(s: pd.Series) -> pd.Series:
-        def one(x):
-            v = np.zeros(width)
-            for g in {*(x or ""), *((x or "")[i : i + 2] for i in range(len(x or "") - 1))}:
-                h = zlib.crc32(g.encode("utf-8", "replace"))
-                v[h % width] += 1.0 if h & 0x10000 else -1.0
-            n = np.sqrt(v @ v)
-            return v / n if n else v
-
-        return s.map(one)
+        return pd.Series(list(_hashed([x or "" for x in s.where(s.notna(), None)], width)), dtype=object)
 
     return embed(text)

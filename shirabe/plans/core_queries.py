@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shirabe.functions import chat, judge, text
 from shirabe.operators import aggregate, dedupe, evaluation, graph, joins, similarity, spans, vector
 from shirabe.operators.annotate import annotate
-from shirabe.plans import pipelines, sql
+from shirabe.plans import packed_queries, pipelines, sql
 from shirabe.sources import readers
 from shirabe.streaming.annotate import event_counts, last_by_key
 
@@ -511,14 +511,19 @@ def min_k(spark, sf):
     return evaluation.first_hits(gold, pred, "case", "term").withColumn("mean_rank", F.round("mean_rank", 9))
 
 
-@query()
+@query(_CLOSURE + f""", u AS (SELECT regexp_extract(node, '\\d+') AS x, regexp_extract(ancestor, '\\d+') AS y FROM c), r AS (SELECT x, y FROM u UNION SELECT y, x FROM u),
+g AS (SELECT DISTINCT case_no AS k, regexp_extract(item_text, '\\d+') AS t FROM ({packed_queries._FOUND})),
+p AS (SELECT doc_id AS k, regexp_extract(hpo_id, '\\d+') AS t FROM documents WHERE hpo_id IS NOT NULL AND regexp_extract(hpo_id, '\\d+') <> '' AND doc_id IN (SELECT k FROM g)),
+s AS (SELECT (SELECT count(*) FROM p WHERE EXISTS (SELECT 1 FROM g WHERE g.k = p.k AND (g.t = p.t OR EXISTS (SELECT 1 FROM r WHERE r.x = g.t AND r.y = p.t)))) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng)
+SELECT tp, np - tp AS fp, ng - tp AS fn, round(CASE WHEN np > 0 THEN tp / np ELSE 0.0 END, 9) AS precision, round(CASE WHEN ng > 0 THEN tp / ng ELSE 0.0 END, 9) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / np) * (tp / ng) / (tp / np + tp / ng) ELSE 0.0 END, 9) AS f1 FROM s
+""")
 def pr_hierarchical(spark, sf):
     from shirabe.operators.packed import split_packed
 
     gold = split_packed(_t(spark, sf, "eval_cases").select("case_no", "hpo_ids"), "case_no", "hpo_ids").select(F.col("case_no").alias("case"), F.regexp_extract("item_text", r"\d+", 0).alias("term"))
     docs = _t(spark, sf, "documents").where(F.col("hpo_id").isNotNull()).select(F.col("doc_id").alias("case"), F.regexp_extract("hpo_id", r"\d+", 0).alias("term"), F.lit(1.0).alias("score"), F.col("doc_id").alias("seq"))
     up = graph.closure(_edges(spark, sf)).select(F.regexp_extract("node", r"\d+", 0).alias("node"), F.regexp_extract("ancestor", r"\d+", 0).alias("ancestor"))
-    return evaluation.hierarchical_scores(gold, evaluation.ranked(docs, "case", "term", "score"), up, "case", "term")
+    return evaluation.hierarchical_scores(gold, evaluation.ranked(docs, "case", "term", "score"), up, "case", "term").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 # --- spans -----------------------------------------------------------------------------------
@@ -552,14 +557,29 @@ def trivial_spans(spark, sf):
     return parts.where(~spans.is_trivial(F.col("span")))
 
 
-@query("""
-WITH r AS (SELECT doc_id, text, instr(text, '、') - 1 AS b FROM documents WHERE contains(text, '、')),
-c AS (SELECT doc_id, substr(text, greatest(b - 20, 0) + 1, least(b + 1 + 20, length(text)) - greatest(b - 20, 0)) AS x FROM r)
-SELECT doc_id, CASE WHEN regexp_matches(x, '診断に至らず|疑') THEN 'uncertain' WHEN regexp_matches(x, '(?:は|が)?ない|ません|[^。]*なくなり') THEN 'absent' ELSE 'present' END AS status FROM c
+def _token_near(words: list[str]) -> str:
+    """Does one of the words stand as a token of its own that overlaps the window (lo, hi) of text?"""
+    space = sql.SPACE
+    one = []
+    for w in words:
+        n = len(w)
+        part = f"substr(text, greatest(lo - {n}, 0) + 1, least(hi + {n}, length(text)) - greatest(lo - {n}, 0))"
+        one.append(f"regexp_matches({part}, '{space}{w}{space}') OR (lo <= {n} AND regexp_matches({part}, '^{w}{space}')) OR (hi + {n} >= length(text) AND regexp_matches({part}, '{space}{w}$')) OR text = '{w}'")
+    return " OR ".join(one)
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, text, i - 1 AS b FROM documents, unnest(range(1, length(text) + 1)) AS t(i) WHERE substr(text, i, 1) = '、'),
+w AS (SELECT doc_id, text, b, greatest(b - 20, 0) AS lo, least(b + 21, length(text)) AS hi FROM r),
+c AS (SELECT *, substr(text, lo + 1, hi - lo) AS x FROM w)
+SELECT doc_id, CAST(b AS INTEGER) AS begin, CASE WHEN regexp_matches(x, '{'|'.join(f'(?:{p})' for p in spans.UNCERTAIN)}') THEN 'uncertain' WHEN regexp_matches(x, '{'|'.join(f'(?:{p})' for p in spans.ABSENT)}') OR {_token_near(spans.ABSENT_TOKENS)} THEN 'absent' ELSE 'present' END AS status FROM c
 """)
 def assertion_status(spark, sf):
-    rows = _t(spark, sf, "documents").where(F.contains("text", F.lit("、"))).select("doc_id", "text", (F.instr("text", "、") - 1).alias("b"))
-    return rows.select("doc_id", spans.assertion(F.col("text"), F.col("b"), F.col("b") + 1, uncertain=["診断に至らず", "疑"], absent=["(?:は|が)?ない", "ません", "[^。]*なくなり"]).alias("status"))
+    """Every comma of every document, by the default lists and tokens."""
+    at = F.filter(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.when(F.substr("text", i, F.lit(1)) == "、", i - 1)), lambda i: i.isNotNull())
+    rows = _t(spark, sf, "documents").where(F.contains("text", F.lit("、"))).select("doc_id", "text", spans.tokenize(F.col("text")).alias("tok"))
+    each = rows.select("doc_id", "text", "tok", F.explode(at).alias("b"))
+    return each.select("doc_id", F.col("b").alias("begin"), spans.assertion(F.col("text"), F.col("b"), F.col("b") + 1, F.col("tok")).alias("status"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.functions import chat, judge, text
-from shirabe.operators import aggregate, dedupe, evaluation, graph, iterate, joins, spans
+from shirabe.operators import aggregate, dedupe, evaluation, graph, iterate, joins, spans, vector
 from shirabe.plans import pipelines, sql
 from shirabe.session import shared_path
 from shirabe.sources import readers
@@ -338,3 +338,56 @@ def scores_hierarchical(spark, sf):
     """One gold term per case, so one prediction per case can meet it."""
     up, gold, pred = _related(spark, sf)
     return evaluation.hierarchical_scores(gold, pred, up, "case", "term").select("tp", "fp", "fn")
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (score >= 4) AS n_good, count(*) FILTER (mode = 'doctor') AS n_doctor FROM expr_records")
+def fn_observed(spark, sf):
+    """Counters that fill while a table is written."""
+    df, watch = aggregate.observed(_t(spark, sf, "expr_records"), "counters", n_good=F.coalesce(F.col("score") >= 4, F.lit(False)), n_doctor=F.coalesce(F.col("mode") == "doctor", F.lit(False)))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(watch.get["rows"], watch.get["n_good"], watch.get["n_doctor"])], "n_rows bigint, n_good bigint, n_doctor bigint")
+
+
+@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) * CASE WHEN vec_id % 2 = 1 THEN 4 ELSE 1 END, 3) AS energy, 1.0::DOUBLE AS length FROM embeddings")
+def fn_mean_pool(spark, sf):
+    """Mean of the token vectors v and 3v, or of v alone where the mask hides the other, and its unit vector."""
+    rows = _t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    tokens, mask = F.array("v", F.transform("v", lambda x: x * 3)), F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"))
+    pooled = rows.select("vec_id", vector.mean_pool(tokens, mask).alias("m"))
+    one = vector.unit(F.col("m"))
+    return pooled.select("vec_id", F.round(vector.dot(F.col("m"), F.col("m")), 3).alias("energy"), F.round(vector.dot(one, one), 6).alias("length"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name, '{sql.SPACE}+'), lambda x: x <> ''), ' ') AS joined FROM part")
+def fn_joined_tokens(spark, sf):
+    rows = _t(spark, sf, "part").select("p_partkey", spans.tokenize(F.col("p_name")).alias("tok"))
+    return rows.select("p_partkey", spans.joined_tokens(F.col("tok")).alias("joined"))
+
+
+def _key_of(v: str) -> str:
+    return f"replace(replace({sql.strip(f'lower(coalesce({v}, chr(32)))')}, ' ', ''), '　', '')"
+
+
+@query(f"""
+WITH l AS (SELECT hpo_id, arg_max(coalesce(jp_label, ''), seq) AS label FROM hpo_master WHERE hpo_id IS NOT NULL GROUP BY 1),
+e AS (SELECT seq, hpo_id, expr FROM expr_records WHERE hpo_id IS NOT NULL AND {sql.some('expr')}),
+ek AS (SELECT n.seq, {_key_of('n.v')} AS t FROM ({sql.nfkc('e', 'seq', 'expr')}) n), lk AS (SELECT n.hpo_id, {_key_of('n.v')} AS t, n.v FROM ({sql.nfkc('l', 'hpo_id', 'label')}) n),
+r AS (SELECT e.seq, e.hpo_id, ek.t, coalesce(lk.v, '') <> '' AND lk.t = ek.t AS same FROM e JOIN ek ON ek.seq = e.seq LEFT JOIN lk ON lk.hpo_id = e.hpo_id),
+d AS (SELECT t FROM r WHERE NOT coalesce(same, FALSE) GROUP BY t HAVING count(DISTINCT hpo_id) > 1)
+SELECT CASE WHEN coalesce(same, FALSE) THEN 'same_as_label' ELSE 'cross_hpo_duplicate' END AS reason, count(*) AS n FROM r WHERE coalesce(same, FALSE) OR t IN (SELECT t FROM d) GROUP BY 1
+""")
+def fn_curation_reasons(spark, sf):
+    """The whole curation with the similarity stage off: why rows go, by the real comparison key."""
+    e = _t(spark, sf, "expr_records").where(F.col("hpo_id").isNotNull() & F.col("expr").rlike(r"(?U)\S")).select("seq", "hpo_id", "expr", "score", "mode", "source")
+    m = _t(spark, sf, "hpo_master").where(F.col("hpo_id").isNotNull()).select("seq", "hpo_id", F.coalesce("jp_label", F.lit("")).alias("label"), text.depth_of(F.col("depth")).alias("depth"))
+    _, gone = pipelines.curate(e, m, self_min=0.0, other_margin=0.0, ambiguous_gap=0.3)
+    return gone.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'base' AS cond_tag, count(*) FILTER (score >= 2) AS post_total, count(*) FILTER (score >= 2 AND score <> 5) AS post_gen, count(*) FILTER (score = 5) AS post_official, count(*) FILTER (score < 2) AS removed, round(avg(score), 6) AS mean, CAST(count(DISTINCT hpo_id) AS DOUBLE) AS ids FROM expr_records")
+def loop_summary(spark, sf):
+    """One row of a sweep's summary table."""
+    rows = _t(spark, sf, "expr_records")
+    kept = rows.where("score >= 2").withColumn("is_official", F.col("score") == 5)
+    metrics = aggregate.unpivot_metrics(rows.agg(F.round(F.avg("score"), 6).alias("mean"), F.countDistinct("hpo_id").cast("double").alias("ids")), ["mean", "ids"])
+    return pipelines.summarize(kept, rows.where("score < 2"), metrics, "base", ["mean", "ids"])
