@@ -140,16 +140,54 @@ def is_trivial(span: Column, particles: list[str] | None = None, single: list[st
     return let(_bare(F.trim(F.coalesce(span, F.lit("")))), judged)
 
 
+def _status(around: Column, denied: Column | None, uncertain: list[str] | None, absent: list[str] | None) -> Column:
+    unsure = around.rlike("|".join(f"(?:{p})" for p in uncertain or UNCERTAIN))
+    gone = around.rlike("|".join(f"(?:{p})" for p in absent or ABSENT))
+    return F.when(unsure, "uncertain").when(gone if denied is None else gone | denied, "absent").otherwise("present")
+
+
 def assertion(text: Column, begin: Column, end: Column, tokens: Column | None = None, window: int = 20, uncertain: list[str] | None = None, absent: list[str] | None = None, absent_tokens: list[str] | None = None) -> Column:
     """present, absent or uncertain, from the characters around a span; uncertainty goes first."""
     lo = F.greatest(begin - window, F.lit(0))
     hi = F.least(end + window, F.length(text))
     around = F.substr(text, lo + 1, F.greatest(hi - lo, F.lit(0)))
-    unsure = around.rlike("|".join(f"(?:{p})" for p in uncertain or UNCERTAIN))
-    gone = around.rlike("|".join(f"(?:{p})" for p in absent or ABSENT))
-    if tokens is not None:
-        gone = gone | F.exists(tokens, lambda t: (t["end"] > lo) & (t["begin"] < hi) & t["tok"].isin(absent_tokens or ABSENT_TOKENS))
-    return F.when(unsure, "uncertain").when(gone, "absent").otherwise("present")
+    denied = None if tokens is None else F.exists(tokens, lambda t: (t["end"] > lo) & (t["begin"] < hi) & t["tok"].isin(absent_tokens or ABSENT_TOKENS))
+    return _status(around, denied, uncertain, absent)
+
+
+MENTIONS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("around", T.StringType()), T.StructField("denied", T.BooleanType())]))
+
+
+def mentions(text: Column, find: Callable[[str], list[tuple[int, int]]], tokenizer: Tokenizer | None = whitespace_tokenizer, window: int = 20, absent_tokens: list[str] | None = None) -> Column:
+    """All spans that ``find`` gives of a text, with the characters around each and whether a token of absence overlaps these.
+
+    For texts with many spans: one Arrow call per batch reads a text once, where ``assertion`` would
+    walk to every span anew.  Null texts have none.
+    """
+    words = set(absent_tokens or ABSENT_TOKENS)
+
+    @F.pandas_udf(MENTIONS)
+    def run(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return []
+            denials = [(b, e) for t, b, e in tokenizer(x) if t in words] if tokenizer else []
+            starts = [b for b, _ in denials]
+            out = []
+            for b, e in find(x):
+                lo, hi = max(b - window, 0), min(e + window, len(x))
+                at = bisect.bisect_left(starts, hi)  # tokens do not overlap: the last one before hi reaches furthest
+                out.append({"begin": b, "end": e, "around": x[lo:hi], "denied": at > 0 and denials[at - 1][1] > lo})
+            return out
+
+        return s.map(one)
+
+    return run(text)
+
+
+def mention_status(mention: Column, uncertain: list[str] | None = None, absent: list[str] | None = None) -> Column:
+    """present, absent or uncertain for one element of ``mentions``."""
+    return _status(mention["around"], mention["denied"], uncertain, absent)
 
 
 def best_disjoint(spans: list[tuple[int, int, float]], adjacent_conflicts: bool = False) -> list[int]:

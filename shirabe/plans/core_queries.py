@@ -576,10 +576,17 @@ SELECT doc_id, CAST(b AS INTEGER) AS begin, CASE WHEN regexp_matches(x, '{'|'.jo
 """)
 def assertion_status(spark, sf):
     """Every comma of every document, by the default lists and tokens."""
-    at = F.filter(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.when(F.substr("text", i, F.lit(1)) == "、", i - 1)), lambda i: i.isNotNull())
-    rows = _t(spark, sf, "documents").where(F.contains("text", F.lit("、"))).select("doc_id", "text", spans.tokenize(F.col("text")).alias("tok"))
-    each = rows.select("doc_id", "text", "tok", F.explode(at).alias("b"))
-    return each.select("doc_id", F.col("b").alias("begin"), spans.assertion(F.col("text"), F.col("b"), F.col("b") + 1, F.col("tok")).alias("status"))
+    commas = lambda t: [(i, i + 1) for i, c in enumerate(t) if c == "、"]
+    rows = _t(spark, sf, "documents").where(F.contains("text", F.lit("、"))).select("doc_id", spans.mentions(F.col("text"), commas).alias("m"))
+    return rows.select("doc_id", F.explode("m").alias("m")).select("doc_id", F.col("m.begin").alias("begin"), spans.mention_status(F.col("m")).alias("status"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(x, 'green') THEN 'uncertain' WHEN regexp_matches(x, 'red') OR t THEN 'absent' ELSE 'present' END AS status FROM (SELECT p_partkey, substr(p_name, greatest(3 - 4, 0) + 1, least(5 + 4, length(p_name)) - greatest(3 - 4, 0)) AS x, length(p_name) - length(ltrim(p_name)) = 0 AND string_split(p_name, ' ')[1] IN ('almond', 'blue') AS t FROM part)")
+def assertion_of_spans(spark, sf):
+    """The status of one span per text, with lists of one's own."""
+    rows = _t(spark, sf, "part").select("p_partkey", "p_name", spans.tokenize(F.col("p_name")).alias("tok"))
+    first = rows.withColumn("tok", F.slice("tok", 1, 1))
+    return first.select("p_partkey", spans.assertion(F.col("p_name"), F.lit(3), F.lit(5), F.col("tok"), window=4, uncertain=["green"], absent=["red"], absent_tokens=["almond", "blue"]).alias("status"))
 
 
 @query()
