@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shirabe.llm.unify import base_form, fold_table
+from shirabe.llm.unify import base_forms, fold_table
 from shirabe.session import materialize
 
 # Opening and closing signs, sentence ends, and marks of omission.
@@ -146,7 +146,7 @@ def find_cut(df: DataFrame, keys: list[str], text: str, source: str | None = Non
 
     def based(batches):
         for batch in batches:
-            forms = [base_form(v).rstrip() for v in batch.column(0).to_pylist()]
+            forms = [f.rstrip() for f in base_forms(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(forms, pa.string())], [*batch.schema.names[1:], "form"])
 
     formed = rows.mapInArrow(based, T.StructType([*rows.schema.fields[1:], T.StructField("form", T.StringType())]))

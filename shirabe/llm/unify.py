@@ -23,6 +23,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,29 @@ def _unseen() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(f"[{hidden}]+"), re.compile(f"[{spaces}]")
 
 
+@lru_cache(maxsize=1)
+def _odd() -> np.ndarray:
+    """Per character of the first plane: may a text that holds it differ from its consistent form?  The last place is for all others."""
+    hidden, spaces = _unseen()
+
+    def odd(c: str) -> bool:
+        jamo = 0x1160 < ord(c) < 0x1200  # these join with what stands before them, as combining marks do
+        return jamo or unicodedata.category(c)[0] in "MC" or not unicodedata.is_normalized("NFKC", c) or bool(hidden.match(c) or spaces.match(c))
+
+    return np.array([odd(chr(c)) for c in range(0xD800)] + [True] * 0x800 + [odd(chr(c)) for c in range(0xE000, 0x10000)] + [True])
+
+
+def base_forms(texts: list[str]) -> list[str]:
+    """``base_form`` of many texts; only those that hold an odd character are looked at one by one."""
+    if not texts:
+        return []
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.concatenate([[0], np.cumsum(_odd()[np.minimum(codes, 0x10000)])])
+    ends = np.cumsum([len(t) for t in texts])
+    some = seen[ends] > seen[np.concatenate([[0], ends[:-1]])]
+    return [base_form(t) if x else t for t, x in zip(texts, some.tolist())]
+
+
 def base_form(text: str) -> str:
     """NFKC without invisible characters; every kind of space but line ends becomes the plain space."""
     if text.isascii():
@@ -171,7 +195,9 @@ def unify(df: DataFrame, keys: list[str], text: str, clean: str = "clean", chang
 
     def based(batches):
         for batch in batches:
-            forms = [base_form(v) if v else v for v in batch.column(0).to_pylist()]
+            stored = batch.column(0).to_pylist()
+            full = iter(base_forms([v for v in stored if v]))
+            forms = [next(full) if v else v for v in stored]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], [*batch.schema.names, "form"])
 
     def with_form(frame: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from shirabe.llm import pii
 from shirabe.llm.pii import Patterns, field_name, find_items, learn_names, plain_items
 from shirabe.llm.residue import find_residue, residue_kind, without_residue
 from shirabe.llm.truncation import broken_end, find_cut, unclosed
-from shirabe.llm.unify import base_form, dominant, unify
+from shirabe.llm.unify import base_form, base_forms, dominant, places, unify
 
 
 def test_forms_of_look_alikes(spark):
@@ -45,6 +46,13 @@ def test_words_change_whole_only_if_mixed_and_known(spark):
     assert dominant("pаpеr") == "LATIN" and dominant("ао") == "" and dominant("жа") == "CYRILLIC"
 
 
+def test_base_forms_of_many_equal_one_by_one():
+    rng = random.Random(7)
+    pool = [chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x10000), rng.randrange(0x10000, 0x2FFFF), rng.randrange(0x3040, 0x3100), rng.randrange(0x1100, 0x1200), rng.randrange(0x300, 0x370)])) for _ in range(4000)]
+    texts = ["".join(rng.choice(pool + ["か", "\u3099", "e", "\u0301", "a", " "]) for _ in range(rng.randint(0, 6))) for _ in range(20000)]
+    assert base_forms(texts) == [base_form(t) for t in texts] and base_forms([]) == []
+
+
 def test_base_form_is_stable():
     for s in ["ｶﾞ①…", "a­b﻿c", "⽪膚", "  x　", ""]:
         assert base_form(base_form(s)) == base_form(s)
@@ -237,3 +245,63 @@ def test_patterns_equal_the_rules_one_by_one():
                     if m and m.end() - p > 1:
                         want.add((i, p, m.end()))
         assert got == want, t
+
+
+def unified_by_hand(texts):
+    """The documented rules of ``unify``, one text after the other."""
+    forms = Counter(base_form(t) for t in texts if t)
+    kinds = Counter()
+    stored = Counter()
+    for form, n in forms.items():
+        for _, c, w, s, free in places(form):
+            kinds[w, c, s, free] += 1
+            stored[w, c, s, free] += n
+    has = defaultdict(Counter)
+    copies = defaultdict(Counter)
+    known = defaultdict(list)
+    for (w, c, s, free), m in kinds.items():
+        if w.startswith("\x01"):
+            if not free:
+                known[w].append((m, c, s))
+            continue
+        for x, part in (("w", w), ("n", w[1:4]), ("l", w[:3]), ("r", w[2:])):
+            has[x, part][c] += m
+        if s == c:
+            copies[w][c] += stored[w, c, s, free]
+
+    def verdict(counts, c):
+        top = max(((m, o) for o, m in counts.items() if o != c), default=None)
+        if top is None or c not in counts:
+            return None
+        return top[1] if top[0] >= 4 * counts[c] else c if counts[c] >= 4 * top[0] else None
+
+    def fixed(c, w, s):
+        if w.startswith("\x01"):
+            return max(((m, to) for m, to, of in known[w] if s in ("", of)), default=(0, c))[1]
+        wide, near = has["w", w], has["n", w[1:4]]
+        sides = has["l", w[:3]] + has["r", w[2:]]
+        for got in (verdict(wide, c), verdict(near, c), s if s != c and sides[s] else None, verdict(sides, c) if len(wide) > 1 or len(near) > 1 else None):
+            if got:
+                return got
+        others = [m for o, m in wide.items() if o != c]
+        return (verdict(copies[w], c) if others and max(others) >= wide[c] else None) or c
+
+    out = {}
+    for t in texts:
+        form = base_form(t) if t else t
+        for p, c, w, s, free in places(form) if form else []:
+            if free:
+                form = form[:p] + fixed(c, w, s) + form[p + len(c) :]
+        out[t] = form
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forms_equal_the_rules_by_hand(spark, seed):
+    rng = random.Random(seed)
+    words = ["耳鳴り", "耳鳴リ", "気力", "気カ", "二度", "ニ度", "CT", "СT", "СТ", "IgX", "IɡX", "ІgХ", "へ", "ヘ", "カイロ", "力イロ", "が", "、", " ", "の", "ー", "一", "アレルギー", "アレルギ一", "α波", "cop", "сор", "жара"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(250)] + [None, "", "　ＡＢ"]
+    texts += [rng.choice(texts[:40]) for _ in range(120)]
+    want = unified_by_hand(texts)
+    got = unify(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), ["k"], "t").collect()
+    assert {r.t: r.clean for r in got} == want
