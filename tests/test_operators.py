@@ -93,6 +93,21 @@ def test_knn_and_own_other_against_numpy(spark):
         assert math.isclose(sims[i].other, s[best]) and sims[i].best_other == best
 
 
+def test_own_other_holds_equal_labels_once(spark, monkeypatch):
+    m = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]]
+    labels = [(f"g{i:02d}", m[i % 3]) for i in range(30)] + [("h", [-1.0, 0.0]), ("a", [0.8, 0.6])]
+    rows = [(i, f"g{i % 32:02d}", m[i % 3] if i % 5 else m[(i + 1) % 3]) for i in range(64)] + [(64, "h", m[0]), (65, "a", m[2]), (66, None, m[1])]
+    held, blocks = [], vector._blocks
+    monkeypatch.setattr(vector, "_blocks", lambda df, size: (held.append(len(part)) or part for part in blocks(df, size)))
+    got = {r.i: r for r in vector.own_and_other(spark.createDataFrame(rows, "i int, g string, vec array<double>"), spark.createDataFrame(labels, "g string, vec array<double>"), "i", "g", block=2).collect()}
+    assert held == [2, 2, 1] and len(got) == len(rows)
+    for i, g, v in rows:
+        s = {k: sum(a * b for a, b in zip(x, v)) for k, x in labels}
+        own = s.pop(g, None)
+        best = min(s, key=lambda k: (-round(s[k], 12), k))
+        assert got[i].own == (None if own is None else pytest.approx(own)) and got[i].other == pytest.approx(s[best]) and got[i].best_other == best
+
+
 def test_similarity_measures(spark):
     df = spark.createDataFrame([("頭痛", "頭痛"), ("。頭痛 、", "頭痛"), ("激しい頭痛", "頭痛"), ("a", "b"), (None, "x"), ("", "")], "a string, b string")
     lex = [r[0] for r in df.select(similarity.lexical_similarity(F.col("a"), F.col("b"))).collect()]
