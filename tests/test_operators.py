@@ -108,6 +108,13 @@ def test_own_other_holds_equal_labels_once(spark, monkeypatch):
         assert got[i].own == (None if own is None else pytest.approx(own)) and got[i].other == pytest.approx(s[best]) and got[i].best_other == best
 
 
+def test_rerank_query_sends_no_table_through_the_driver(spark, sf):
+    from shirabe.plans.core_queries import lexical_rerank
+
+    plan = lexical_rerank(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similarity_measures(spark):
     df = spark.createDataFrame([("頭痛", "頭痛"), ("。頭痛 、", "頭痛"), ("激しい頭痛", "頭痛"), ("a", "b"), (None, "x"), ("", "")], "a string, b string")
     lex = [r[0] for r in df.select(similarity.lexical_similarity(F.col("a"), F.col("b"))).collect()]
