@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def ranked(pred: DataFrame, case: str, term: str, score: str, seq: str = "seq", statuses: tuple[str, str] | None = None) -> DataFrame:
@@ -44,34 +43,55 @@ def exact_scores(gold: DataFrame, pred: DataFrame, case: str, term: str) -> Data
     return counts.select("tp", "fp", "fn", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+WIDE = 1_000  # predictions of a case from which on its pairs are made from the closure
+
+
+def _related(g: DataFrame, p: DataFrame, closure: DataFrame, case: str) -> DataFrame:
+    """``case``, ``g``, ``p``, ``rank``: pairs of a case of which one term is the other's ancestor.
+
+    The pairs of a case are looked up in the closure: expanding a gold term to all its descendants
+    would make as many rows as the ontology has terms.  Only cases of more than ``WIDE`` predictions are expanded.
+    """
+    size = p.groupBy(case).agg(F.count("*").alias("_n"))
+    sized = g.join(size, case)
+    up = closure.select(F.col("node").alias("x"), F.col("ancestor").alias("y"))
+    both = sized.where(F.col("_n") <= WIDE).select(case, "g").join(p, case)
+    ways = F.explode(F.array(F.struct(F.col("g").alias("x"), F.col("p").alias("y")), F.struct(F.col("p").alias("x"), F.col("g").alias("y")))).alias("w")
+    few = both.select(case, "g", "p", "rank", ways).select(case, "g", "p", "rank", "w.x", "w.y").join(up, ["x", "y"], "left_semi")
+    near = up.unionByName(up.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    wide = sized.where(F.col("_n") > WIDE).select(case, "g").join(near, F.col("g") == F.col("x")).select(case, "g", F.col("y").alias("p")).distinct()
+    return few.select(case, "g", "p", "rank").unionByName(wide.join(p, [case, "p"]).select(case, "g", "p", "rank"))
+
+
 def hierarchical_scores(gold: DataFrame, pred: DataFrame, closure: DataFrame, case: str, term: str) -> DataFrame:
     """As ``exact_scores``, where a prediction also meets its gold term's ancestors and descendants.
 
     Each gold term, in ascending order, takes the best ranked prediction that is not taken yet.
-    Candidate pairs come from joins with the closure; only a case's own candidate pairs meet in
-    one task, for the matching.
+    Candidate pairs are looked up in the closure; for the matching they stream through their
+    case's partition in order, and a task holds the taken predictions of one case.
     """
     cases = gold.select(case).distinct()
     g = gold.where(F.col(term).isNotNull()).select(case, F.col(term).alias("g")).distinct()
     p = pred.join(cases, case, "left_semi").groupBy(case, F.col(term).alias("p")).agg(F.min("rank").alias("rank"))
-    up = closure.select(F.col("node").alias("x"), F.col("ancestor").alias("y"))
-    near = up.unionByName(closure.select(F.col("ancestor").alias("x"), F.col("node").alias("y"))).distinct()
     same = g.join(p, (g[case] == p[case]) & (F.col("g") == F.col("p"))).select(g[case], "g", "p", "rank")
-    related = g.join(near, F.col("g") == F.col("x")).select(case, "g", F.col("y").alias("p")).join(p, [case, "p"]).select(case, "g", "p", "rank")
-    pairs = same.unionByName(related).distinct()
-
-    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        for _, rows in pdf.sort_values(["g", "rank"]).groupby("g", sort=True):
-            hit = next((x for x in rows["p"] if x not in taken), None)
-            if hit is not None:
-                taken.add(hit)
-        return pd.DataFrame([(key[0], len(taken))], columns=[case, "tp"])
-
-    schema = T.StructType([T.StructField(case, gold.schema[case].dataType), T.StructField("tp", T.LongType())])
-    tp = pairs.groupBy(case).applyInPandas(match, schema)
-    n = g.groupBy(case).agg(F.count("*").alias("ng")).join(p.groupBy(case).agg(F.count("*").alias("np")), case, "full").join(tp, case, "left").na.fill(0, ["ng", "np", "tp"])
-    total = n.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "np", "ng")]).select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
+    pairs = same.unionByName(_related(g, p, closure, case)).distinct()
+
+    def match(batches):
+        current, done, taken = object(), None, set()
+        for batch in batches:
+            n = 0
+            for c, g, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if c != current:
+                    current, done, taken = c, None, set()
+                if g != done and p not in taken:
+                    taken.add(p)
+                    done = g
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["tp"])
+
+    tp = pairs.select(case, "g", "p", "rank").repartition(case).sortWithinPartitions(case, "g", "rank").mapInArrow(match, "tp bigint")
+    n = [g.agg(F.count("*").alias("ng")), p.agg(F.count("*").alias("np")), tp.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))]
+    total = n[0].crossJoin(n[1]).crossJoin(n[2]).select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
     return total.select("tp", "fp", "fn", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 

@@ -188,6 +188,28 @@ def test_scores_on_a_small_tree(spark):
     assert evaluation.exact_scores(none, pred, "case", "term").first().f1 == 0.0
 
 
+@pytest.mark.parametrize("wide", [1_000, 2])
+def test_hierarchical_scores_against_a_loop(spark, monkeypatch, wide):
+    monkeypatch.setattr(evaluation, "WIDE", wide)
+    rng = random.Random(5)
+    up = {(f"t{a:02d}", f"t{b:02d}") for a in range(40) for b in range(a) if rng.random() < 0.1} | {(f"t{a:02d}", "root") for a in range(40)}
+    gold = sorted({(c, rng.choice(["root", *(f"t{i:02d}" for i in range(40))])) for c in range(12) for _ in range(6)})
+    pred = [(c, f"t{t:02d}", r) for c in range(1, 14) for r, t in enumerate(rng.sample(range(40), rng.randint(1, 9)), 1)] + [(3, "root", 20), (4, "root", 0)]
+    tp = 0
+    for case in range(12):
+        taken: set = set()
+        for g in sorted(t for c, t in gold if c == case):
+            hit = next((t for _, t in sorted((r, t) for c, t, r in pred if c == case) if t not in taken and (t == g or (t, g) in up or (g, t) in up)), None)
+            taken |= {hit} - {None}
+        tp += len(taken)
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((gold, "case int, t string"), (pred, "case int, t string, rank int"), (sorted(up), "node string, ancestor string"))]
+    scores = evaluation.hierarchical_scores(*frames, "case", "t")
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # no call per case
+    got = scores.first()
+    assert (got.tp, got.fp, got.fn) == (tp, sum(c < 12 for c, _, _ in pred) - tp, len(gold) - tp)
+
+
 def test_judge_refine_with_a_scripted_model(spark):
     start = spark.createDataFrame([("g", i, f"text {i}") for i in range(4)] + [("h", 0, "good one"), ("h", 1, "good two")], "id string, cand_no int, text string")
 
