@@ -1,11 +1,12 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from shirabe.llm.neardup import _keys, components, gram_sets, near_groups, near_pairs
-from shirabe.llm import spans
+from shirabe.llm import neardup, spans
 from shirabe.llm.spans import covered, expand_pairs, shared_intervals, shared_links, text_classes, without_repeats
 
 
@@ -66,6 +67,51 @@ def test_records_poor_in_one_fragment_do_not_meet():
     assert largest < 40 and many < 8000 * 12
 
 
+def written(monkeypatch):
+    """Of every table that ``neardup`` writes: name, rows and bytes."""
+    out, write = [], neardup.materialize
+
+    def spy(df, name, **kw):
+        table = write(df, name, **kw)
+        files = Path(table._shirabe_path.removeprefix("file://")).glob("*.parquet")
+        out.append((name, table.count(), sum(f.stat().st_size for f in files)))
+        return table
+
+    monkeypatch.setattr(neardup, "materialize", spy)
+    return out
+
+
+def test_keys_that_meet_none_are_not_written(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(80)) for _ in range(2000)]
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate(texts + [t + "。" for t in texts[:20]])], "key bigint, v array<string>")
+    tables = written(monkeypatch)
+    links, _ = near_pairs(df, "key", "v")
+    assert sorted((r.a, r.b) for r in links.collect()) == [(i, 2000 + i) for i in range(20)]
+    assert max(size for _, _, size in tables) < 400 * 2020  # one row per key: 835 bytes a record
+
+
+def test_large_sets_with_common_parts_are_no_candidates(spark, monkeypatch):
+    """Half of the n-grams in common, which a sketch of 64 bits cannot tell from four fifths."""
+    rng = random.Random(13)
+    text = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    pool = [text(40) for _ in range(5)]
+    rows = [(i, [*rng.sample(pool, 4), text(60)]) for i in range(150)]
+    rows += [(1000, [*rows[0][1][:4], rows[0][1][4] + "。"])]
+    tables = written(monkeypatch)
+    links, _ = near_pairs(spark.createDataFrame(rows, "key bigint, v array<string>"), "key", "v")
+    assert [(r.a, r.b) for r in links.collect()] == [(0, 1000)] and {(0, 1000)} == near_brute(rows)
+    assert sum(n for name, n, _ in tables if name == "near-candidates") < 20
+
+
+def test_the_passes_hold_every_key_once():
+    rng = random.Random(5)
+    owner, gram = gram_sets([["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 200)))] for _ in range(60)])
+    sizes = np.bincount(owner, minlength=60)
+    found = [list(zip(*(x.tolist() for x in _keys(owner, gram, sizes, 4, 5, *turn)))) for turn in [(0, 1), *((i, 3) for i in range(3))]]
+    assert sorted(found[0]) == sorted(found[1] + found[2] + found[3])
+
+
 def test_no_gram_spans_two_elements():
     owner, gram = gram_sets([["ab", "cd"], ["abcd"], [None, "", "x"]])
     assert [int((owner == i).sum()) for i in range(3)] == [2, 3, 0] and len(gram) == 5
